@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, packing
+from tidemark.llm import bpe, exact_dedup, packing, simhash
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, distance=4)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary(), keep_ids=False).drop("ids")
 
@@ -26,5 +30,5 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op4_packing, op6_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_packing, op6_exact_dedup)}
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
