@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, packing, simhash
+from tidemark.llm import bpe, exact_dedup, langid, packing, pii, simhash
 from tidemark.llm.common import table
 
 
@@ -30,5 +30,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_packing, op6_exact_dedup)}
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_packing, op6_exact_dedup, op7_langid, op9_pii)}
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
