@@ -37,19 +37,29 @@ def normalised(text: Column) -> Column:
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, slices: int = SLICES) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(docs[id_col].alias("id"), F.char_length(text).alias("points"), normalised(text).alias("body"))
-    rows = rows.withColumn("hash", F.xxhash64("body"))
+    marked = _marked(docs.select(id_col, text_col), id_col, text_col, hot_share, slices)
+    return marked.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
-    counts = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, slices: int = SLICES) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    return _marked(docs, id_col, text_col, hot_share, slices).where("kept").select("row.*")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, hot_share: float, slices: int) -> DataFrame:
+    """Whole input rows as ``row``, with their id and what is known of their group."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"))
+    text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
+    keys = rows.select("row", "id", normalised(text).alias("body")).select("row", "id", F.xxhash64("body").alias("hash"), F.substring("body", 1, LEAD_BYTES).alias("lead"))
+
+    counts = keys.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     total = docs.agg(F.count(F.lit(1))).scalar()
     hot = counts.where(F.col("n") > F.greatest(total * F.lit(hot_share), F.lit(64.0))).select("hash", F.lit(True).alias("hot"))
 
-    rows = rows.join(F.broadcast(hot), "hash", "left")
     # Repeated rows with one id stay in one slice: the slice follows from the id.
-    rows = rows.withColumn("slice", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(slices))).otherwise(F.lit(-1).cast("long")))
-    rows = rows.withColumn("lead", F.substring("body", 1, LEAD_BYTES))
-    rows = rows.repartitionByRange("lead", "hash", "slice")
+    keys = keys.join(F.broadcast(hot), "hash", "left")
+    keys = keys.withColumn("slice", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(slices))).otherwise(F.lit(-1).cast("long"))).drop("hot")
+    rows = keys.repartitionByRange("lead", "hash", "slice").select("*", normalised(text).alias("body"), F.char_length(text).alias("points"))
 
     run = Window.partitionBy("lead", "hash", "slice", "body")
     best = run.orderBy(F.col("points").desc(), F.col("id").asc_nulls_last())
@@ -81,7 +91,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     sliced = F.col("slice") >= 0
     return out.select(
-        F.col("id").alias(id_col),
+        "row",
+        "id",
         F.when(sliced, F.col("all_keep")).otherwise(F.col("run_keep")).alias("keep_id"),
         F.when(sliced, F.col("all_size")).otherwise(F.col("run_size")).cast("long").alias("group_size"),
         ((F.col("place") == 1) & (~sliced | F.coalesce(F.col("wins"), F.lit(False)))).alias("kept"),

@@ -131,3 +131,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
+    """The rows, with all their columns, whose text is in some learned language with at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in text_slices(batches, limit=1 << 20):
+            labels, scores = own.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array([label != UNKNOWN and score >= min_score for label, score in zip(labels, scores)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

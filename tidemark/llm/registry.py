@@ -39,5 +39,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_packing, op6_exact_dedup, op7_langid, op9_pii)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_packing, op6_exact_dedup, op7_langid, op9_pii, pipeline)}
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE}

@@ -118,3 +118,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, id_col:
     named = rooted.join(least, "root").select("fp", "component_id")
     # A fingerprint that many rows share is on one side only, which adaptive execution splits.
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose id names their component: one document of each group."""
+    found = near_duplicates(docs, width, distance, id_col, text_col)
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stays")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stays"]), "left_semi")
