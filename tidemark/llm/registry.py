@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, exact_dedup, langid, packing, pii, simhash
+from tidemark.llm import bpe, exact_dedup, langid, packing, pii, simhash, suffix_dedup
 from tidemark.llm.common import table
 
 
@@ -39,11 +39,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_packing, op6_exact_dedup, op7_langid, op9_pii, pipeline)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_packing, op6_exact_dedup, op7_langid, op9_pii, op10_suffix_dedup, pipeline)}
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
