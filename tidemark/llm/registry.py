@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, langid, packing, pii, simhash, suffix_dedup
+from tidemark.llm import ann, bpe, exact_dedup, langid, packing, pii, simhash, suffix_dedup
 from tidemark.llm.common import table
 
 
@@ -14,6 +15,10 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -49,5 +54,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_packing, op6_exact_dedup, op7_langid, op9_pii, op10_suffix_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_bpe, op3_simhash, op4_packing, op6_exact_dedup, op7_langid, op9_pii, op10_suffix_dedup, pipeline)}
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
