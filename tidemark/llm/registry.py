@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, langid, packing, pii, simhash, suffix_dedup
+from tidemark.llm import ann, bpe, exact_dedup, langid, packing, pii, sharding, simhash, suffix_dedup, urls
 from tidemark.llm.common import table
 
 
@@ -31,6 +31,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _vocabulary(), keep_ids=False).drop("ids")
 
 
+SHARD_BYTES = 1 << 20
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -40,6 +47,14 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+#: Rules of the url query: verdict, host and path.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -54,5 +69,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_bpe, op3_simhash, op4_packing, op6_exact_dedup, op7_langid, op9_pii, op10_suffix_dedup, pipeline)}
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_bpe, op3_simhash, op4_packing, op5_sharding, op6_exact_dedup, op7_langid, op8_urls, op9_pii, op10_suffix_dedup, pipeline)}
+ORACLE_SQL = {"op5_sharding": sharding.oracle(SHARD_BYTES), "op6_exact_dedup": exact_dedup.ORACLE}
