@@ -39,7 +39,7 @@ WIDE_SPACE_ENDS = (
     (0x81, 0x9F),
 )
 #: Fragments kept by a worker before it starts anew, slots of their table, and the longest fragment kept by its bytes.
-CACHE_ENTRIES, SLOT_BITS, SHORT = 700_000, 21, 23
+CACHE_ENTRIES, SLOT_BITS, SHORT = 400_000, 20, 23
 #: Masks that keep the first n bytes of a little-endian word; odd multipliers that spread keys over slots.
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -92,7 +92,7 @@ class ForcedBoundaryCodec:
 
     def _reset(self) -> None:
         self._long: dict[bytes, int] = {}
-        self._decimal: list[bytes] = []
+        self._decimal: list[bytes | None] = []  # written when first asked for
         self._keys = np.zeros((3, 1024), dtype=np.uint64)
         self._starts = np.zeros(1024, dtype=np.int64)
         self._lengths = np.zeros(1024, dtype=np.int64)
@@ -126,7 +126,7 @@ class ForcedBoundaryCodec:
             self._ids[self._used : self._used + n] = ids
             self._starts[k], self._lengths[k] = self._used, n
             self._used += n
-            self._decimal.append(b",".join(b"%d" % i for i in ids))
+        self._decimal += [None] * len(missing)
         return np.arange(first, first + len(missing))
 
     def _lookup(self, keys: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -193,6 +193,15 @@ class ForcedBoundaryCodec:
         before = np.cumsum(lengths) - lengths
         return self._ids[np.repeat(self._starts[index] - before, lengths) + np.arange(total)], lengths
 
+    def _decimals(self, index: np.ndarray) -> list[bytes]:
+        """Decimal ids, joined by commas, of each fragment."""
+        said = self._decimal
+        for i in np.unique(index).tolist():
+            if said[i] is None:
+                start = self._starts[i]
+                said[i] = b",".join(b"%d" % x for x in self._ids[start : start + self._lengths[i]].tolist())
+        return [said[i] for i in index.tolist()]
+
     def encode_batch(self, docs: list[bytes]) -> list[np.ndarray]:
         """Ids (int32) of each text."""
         return [ids for ids, _ in self.encode_digest(docs, decimal=False)]
@@ -204,7 +213,7 @@ class ForcedBoundaryCodec:
         index, at = self._fragments(plain)
         ids, lengths = self._gather(index)
         upto = np.concatenate([[0], np.cumsum(lengths)])[at]
-        said = [self._decimal[i] for i in index.tolist()] if decimal else []
+        said = self._decimals(index) if decimal else []
         out = []
         for i, doc in enumerate(docs):
             if i in whole:

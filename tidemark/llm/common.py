@@ -25,7 +25,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text (one row at least), to bound working memory."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))

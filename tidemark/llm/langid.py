@@ -88,7 +88,7 @@ def train(docs: DataFrame, bits: int = BITS, max_train_rows: int = MAX_TRAIN_ROW
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=1 << 19):
             langs = batch.column(1).to_pylist()
             docs = batch.column(0).to_pylist()
             for lang in set(langs):
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in text_slices(batches, limit=1 << 20):
+        for batch in text_slices(batches, limit=1 << 19):
             labels, scores = own.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -139,7 +139,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in text_slices(batches, limit=1 << 20):
+        for batch in text_slices(batches, limit=1 << 19):
             labels, scores = own.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([label != UNKNOWN and score >= min_score for label, score in zip(labels, scores)], pa.bool_()))
 
