@@ -57,6 +57,8 @@ class Chunk:
     """Texts side by side in one buffer, with the ids and bounds of the documents."""
 
     def __init__(self, rows: pa.Table):
+        # The same order whatever the shuffle's: runs are cut at fixed places of the buffer.
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids = rows.column("doc_id").combine_chunks().cast(pa.int64())
         self.rows = rows.column("doc_id")
         self.ids = pc.fill_null(ids, LAST).to_numpy(zero_copy_only=False)
