@@ -157,19 +157,22 @@ def _phrases(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number, order, first
 
 
-def multikey_groups(buffer: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Group number of the suffix at each place, equal where the first ``length`` bytes are; groups in sorted order.
+def multikey_groups(buffer: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Group number of the suffix at each place, equal where ``group`` and the first ``length`` bytes are.
 
     Multikey quicksort, a character being eight bytes: round by round, what is still tied is sorted by its next one.
+    ``group`` is what is known to differ before the first round.
     """
     words = _words(buffer)
+    order, first = _grouped(group)
     group = np.zeros(len(at), dtype=np.int64)
-    tied = np.arange(len(at))
+    sizes = np.diff(np.append(first, len(order)))
+    group[order] = np.repeat(first, sizes)
+    tied = order[np.repeat(sizes > 1, sizes)]
     for k in (*range(0, length - 8, 8), length - 8):
-        if len(tied) < 2:
+        if not len(tied):
             break
-        key = words[at[tied] + k]
-        order, first = _grouped(group[tied], key)
+        order, first = _grouped(group[tied], words[at[tied] + k])
         sizes = np.diff(np.append(first, len(order)))
         old = group[tied[order]][first]
         # A part's number: its group's number plus what sorts before it in the group.
@@ -180,6 +183,53 @@ def multikey_groups(buffer: np.ndarray, at: np.ndarray, length: int = LENGTH) ->
     return group
 
 
+class Stretches(NamedTuple):
+    """Stretches of windows of distinct phrases, by phrase, that have one smallest id."""
+
+    phrase: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    least: np.ndarray
+
+
+def _stretches(buffer: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, low: np.ndarray, length: int, gram: int) -> Stretches:
+    """Sort the suffixes at all windows of distinct phrases and compare neighbours.
+
+    Equal windows have equal anchors at equal places, so a phrase whose anchor no other has is settled at once, and
+    the others are sorted within (anchor, place of the anchor in the window).
+    """
+    words = _words(buffer)
+    at = start + anchor
+    order, first = _grouped(*(words[at + k] for k in (*range(0, gram - 7, 8), *([gram - 8] if gram % 8 else []))))
+    sizes = np.diff(np.append(first, len(order)))
+    family = np.zeros(len(start), dtype=np.int64)
+    family[order] = np.repeat(np.arange(len(first)), sizes)
+    many = np.flatnonzero((sizes > 1)[family])
+    one = np.flatnonzero((sizes == 1)[family])
+    of = np.repeat(many, count[many])
+    window = np.arange(len(of)) - np.repeat(np.cumsum(count[many]) - count[many], count[many])
+    group = multikey_groups(buffer, start[of] + window, family[of] * length + anchor[of] - window, length)
+    order, first = _grouped(group)
+    least = np.zeros(len(of), dtype=np.int64)
+    if len(first):
+        least[order] = np.repeat(np.minimum.reduceat(low[of][order], first), np.diff(np.append(first, len(order))))
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (least[1:] != least[:-1])
+    begin = np.flatnonzero(new)
+    stop = np.append(begin[1:], len(of)) - 1
+    phrase = np.concatenate([one, of[begin]])
+    by = np.argsort(phrase, kind="stable")
+    parts = (phrase, np.concatenate([np.zeros(len(one), dtype=np.int64), window[begin]]), np.concatenate([count[one] - 1, window[stop] if len(of) else begin]), np.concatenate([low[one], least[begin]]))
+    return Stretches(*(p[by] for p in parts))
+
+
+def _expand(number: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) with ``number[i] == keys[j]``; ``keys`` is sorted."""
+    begin, end = np.searchsorted(keys, number, side="left"), np.searchsorted(keys, number, side="right")
+    sizes = end - begin
+    return np.repeat(np.arange(len(number)), sizes), np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def _binary(values: list[np.ndarray | bytes]) -> pa.Array:
     return pa.array([v if isinstance(v, bytes) else v.tobytes() for v in values], pa.binary())
 
@@ -260,6 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()),
             "phrase": _binary([phrase[by[a:b]].astype(np.uint32) for _, a, b in parts]),
             "count": _binary([runs.count[one[by[a:b]]].astype(np.uint8) for _, a, b in parts]),
+            "anchor": _binary([(runs.anchor - runs.start)[one[by[a:b]]].astype(np.uint8) for _, a, b in parts]),
             "low": _binary([low[phrase[by[a:b]]] for _, a, b in parts]),
             "high": _binary([high[phrase[by[a:b]]] for _, a, b in parts]),
             "text": _binary([text(by[a:b]) for _, a, b in parts]),
@@ -267,35 +318,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         phrase, count = _joined(rows.column("phrase"), "u4"), _joined(rows.column("count"), "u1").astype(np.int64)
+        anchor = _joined(rows.column("anchor"), "u1").astype(np.int64)
         low, high = _joined(rows.column("low"), "i8"), _joined(rows.column("high"), "i8")
-        buffer = np.concatenate([_joined(rows.column("text"), "u1"), np.zeros(16, dtype=np.uint8)])
-        held = [len(p) // 4 for p in rows.column("phrase").to_pylist()]
-        sender = np.repeat(rows.column("chunk").to_numpy(), held)
-        sizes = count + length - 1
-        start = np.cumsum(sizes) - sizes
-        of = np.repeat(np.arange(len(phrase)), count)
-        window = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        group = multikey_groups(buffer, start[of] + window, length)
-        order, first = _grouped(group)
-        least = np.zeros(len(of), dtype=np.int64)
-        if len(first):
-            least[order] = np.repeat(np.minimum.reduceat(low[of][order], first), np.diff(np.append(first, len(order))))
-        new = np.ones(len(of), dtype=bool)
-        new[1:] = (of[1:] != of[:-1]) | (least[1:] != least[:-1])
-        begin = np.flatnonzero(new)
-        stop = np.append(begin[1:], len(of)) - 1
-        told = least[begin] < high[of[begin]]
-        begin, stop = begin[told], stop[told]
-        to = sender[of[begin]]
-        by = np.argsort(to, kind="stable")
-        parts = _cut(to[by])
-        begin, stop = begin[by], stop[by]
+        text = b"".join(rows.column("text").to_pylist())
+        sender = np.repeat(rows.column("chunk").to_numpy(), [len(p) // 4 for p in rows.column("phrase").to_pylist()])
+        start = np.cumsum(count + length - 1) - (count + length - 1)
+        # Phrases that several chunks sent are one; anchors follow from the text.
+        numbers: dict[bytes, int] = {}
+        own = np.array([numbers.setdefault(text[a:b], len(numbers)) for a, b in zip(start.tolist(), (start + count + length - 1).tolist())], dtype=np.int64)
+        order, first = _grouped(own)
+        one = order[first]
+        least = np.minimum.reduceat(low[order], first) if len(first) else low
+        buffer = np.frombuffer(text + bytes(16), dtype=np.uint8)
+        found = _stretches(buffer, start[one], count[one], anchor[one], least, length, gram)
+        row, stretch = _expand(own, found.phrase)
+        told = found.least[stretch] < high[row]
+        row, stretch = row[told], stretch[told]
+        by = np.argsort(sender[row], kind="stable")
+        row, stretch = row[by], stretch[by]
+        parts = _cut(sender[row])
         return pa.table({
             "chunk": pa.array([k for k, _, _ in parts], pa.int32()),
-            "phrase": _binary([phrase[of[begin[a:b]]] for _, a, b in parts]),
-            "from": _binary([window[begin[a:b]].astype(np.uint8) for _, a, b in parts]),
-            "to": _binary([window[stop[a:b]].astype(np.uint8) for _, a, b in parts]),
-            "least": _binary([least[begin[a:b]] for _, a, b in parts]),
+            "phrase": _binary([phrase[row[a:b]] for _, a, b in parts]),
+            "from": _binary([found.first[stretch[a:b]].astype(np.uint8) for _, a, b in parts]),
+            "to": _binary([found.last[stretch[a:b]].astype(np.uint8) for _, a, b in parts]),
+            "least": _binary([found.least[stretch[a:b]] for _, a, b in parts]),
         })
 
     def mark(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -309,10 +356,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             by = np.argsort(phrase, kind="stable")
             phrase = phrase[by]
             first, last, least = (_joined(told.column(c), t)[by] for c, t in (("from", "u1"), ("to", "u1"), ("least", "i8")))
-            begin, end = np.searchsorted(phrase, number, side="left"), np.searchsorted(phrase, number, side="right")
-            sizes = end - begin
-            run = np.repeat(np.arange(len(number)), sizes)
-            stretch = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            run, stretch = _expand(number, phrase)
             gone = least[stretch] < ids[run]
             run, stretch = run[gone], stretch[gone]
             np.add.at(edges, runs.start[run] + first[stretch], 1)
@@ -332,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     sketched = dealt.groupBy("chunk").applyInArrow(sketch, "bucket int, chunk int, grams binary, many binary")
     wanted = sketched.groupBy("bucket").applyInArrow(shared, "bucket int, chunk int, grams binary")
-    sent = dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, phrase binary, count binary, low binary, high binary, text binary")
+    sent = dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, phrase binary, count binary, anchor binary, low binary, high binary, text binary")
     told = sent.groupBy("bucket").applyInArrow(compare, "chunk int, phrase binary, `from` binary, `to` binary, least binary")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(mark, schema)
