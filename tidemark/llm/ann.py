@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIT_ROWS, CALIBRATION_QUERIES = 20_000, 200
-BRANCHING, LEAF_ROWS, MIN_LEAF_SAMPLE = 8, 256, 24
+#: Children of a node, leaves aimed at (more for large tables: their number follows the square root of the rows), rows a leaf is fitted on at least.
+BRANCHING, LEAVES, ROOT_SHARE, MIN_LEAF_SAMPLE = 8, 32, 1 / 16, 24
 ROW_BLOCK, QUERY_BLOCK = 4096, 2048
 RECALL = 0.97
 
@@ -107,23 +108,30 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its number, and ids and exact scores of its ``k`` best among ``rows`` (fewer if there are fewer)."""
-    by = np.argsort(ids, kind="stable")
-    rows, ids = rows[by], ids[by]
+def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of queries, row numbers and exact scores of each query's ``k`` best ``rows`` (fewer if there are fewer).
+
+    A matrix product finds what may be among the best, with some slack for its rounding; only that is summed exactly.
+    """
     slack = 1e-9 * (1 + np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * rows.shape[1])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for low in range(0, len(queries), 256):
         rough = queries[low : low + 256] @ rows.T
-        for i in range(len(rough)):
-            score = rough[i]
-            score[ids == own[low + i]] = -np.inf
-            least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -np.inf
-            near = np.flatnonzero(score >= max(least - slack, np.finfo(float).min))
-            exact = np.zeros(len(near))
-            for d in range(rows.shape[1]):
-                exact += queries[low + i, d] * rows[near, d]
-            order = np.argsort(-exact, kind="stable")[:k]
-            yield low + i, ids[near[order]], exact[order]
+        rough[own[low : low + 256, None] == ids[None, :]] = -np.inf
+        if rough.shape[1] > k:
+            least = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k, None] - slack
+            q, r = np.nonzero((rough >= least) & (rough > -np.inf))
+        else:
+            q, r = np.nonzero(rough > -np.inf)
+        q += low
+        exact = np.zeros(len(q))
+        for d in range(rows.shape[1]):
+            exact += queries[q, d] * rows[r, d]
+        order = np.lexsort((ids[r], -exact, q))
+        q, r, exact = q[order], r[order], exact[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        found.append((q[place < k], r[place < k], exact[place < k]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -148,7 +156,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     # Both samples are bounded by a parameter, whatever the table holds.
     sample = drawn(rows, "fit", fit_rows / total).select("vector").limit(2 * fit_rows).toArrow()
     fitted = _vectors(sample.column("vector"), dim) if sample.num_rows else np.zeros((1, dim))
-    tree = spark.sparkContext.broadcast(Tree(fitted, max(MIN_LEAF_SAMPLE, int(LEAF_ROWS * len(fitted) / total))))
+    tree = spark.sparkContext.broadcast(Tree(fitted, max(MIN_LEAF_SAMPLE, int(1.5 * len(fitted) / max(LEAVES, ROOT_SHARE * total**0.5)))))
 
     queries = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
     asked = queries.count()
@@ -183,14 +191,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return of.join(cut, "leaf").select("leaf", mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other), "id", "vector")
 
     def compare(key: tuple, asks: pa.Table, has: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if asks.num_rows and has.num_rows:
-            own = asks.column("id").to_numpy()
-            for i, ids, scores in best(_vectors(asks.column("vector"), dim), own, _vectors(has.column("vector"), dim), has.column("id").to_numpy(), k):
-                for held, new in zip(out, (np.full(len(ids), own[i]), ids, scores)):
-                    held.append(new)
-        columns = [np.concatenate(c) if c else [] for c in out]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
+        if not asks.num_rows or not has.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        own, ids = asks.column("id").to_numpy(), has.column("id").to_numpy()
+        q, r, score = best(_vectors(asks.column("vector"), dim), own, _vectors(has.column("vector"), dim), ids, k)
+        return pa.table({"query_id": own[q], "vec_id": ids[r], "score": score})
 
     by = ["leaf", "row_blocks", "query_blocks"]
     met = dealt(visiting, "query_blocks", "row_blocks").groupBy(*by).cogroup(dealt(indexed, "row_blocks", "query_blocks").groupBy(*by))
@@ -205,10 +210,8 @@ def exhaustive(rows: DataFrame, queries: pa.Table, dim: int, k: int) -> DataFram
         own, asks = shared.value
         for batch in batches:
             ids, vectors = batch.column(0).to_numpy(), _vectors(batch.column(1), dim)
-            place = {int(x): i for i, x in enumerate(ids)}
-            for i, near, scores in best(asks, own, vectors, ids, k):
-                at = pa.array([place[int(x)] for x in near], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), own[i]), pa.int64()), pa.array(near, pa.int64()), pa.array(scores, pa.float64()), batch.column(1).take(at)], names=["query_id", "vec_id", "score", "vector"])
+            q, r, score = best(asks, own, vectors, ids, k)
+            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[r]), pa.array(score), batch.column(1).take(pa.array(r))], names=["query_id", "vec_id", "score", "vector"])
 
     kind = rows.schema["vector"].dataType.simpleString()
     found = rows.select("id", "vector").mapInArrow(run, f"query_id long, vec_id long, score double, vector {kind}")
