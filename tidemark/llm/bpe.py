@@ -147,7 +147,7 @@ class ForcedBoundaryCodec:
         """Number of each fragment of the batch, and where each document's fragments start (one more at the end)."""
         joined = b"".join(docs)
         buffer = np.frombuffer(joined + bytes(24), dtype=np.uint8)
-        ends = np.cumsum([len(d) for d in docs])
+        ends = np.cumsum([len(d) for d in docs], dtype=np.int64)
         mark = np.zeros(len(joined) + 1, dtype=bool)
         mark[0] = True
         mark[ends] = True

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import checkpoint
+
 HASH_BITS, ROUND_BITS = 60, 10
 BROADCAST_BITS = 14
 
@@ -57,7 +59,7 @@ def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
         done.append(found.where(F.col("depth") <= high).select("id", "hash", "bytes", "depth", F.lit("").alias("page")))
         if depths.where(F.col("depth") > high).isEmpty():
             break
-        rest = found.where(F.col("depth") > high).select("id", "hash", "bytes")
+        rest = checkpoint(found.where(F.col("depth") > high).select("id", "hash", "bytes"))  # else the plan doubles each round
         if high == HASH_BITS:
             done.append(_pages(rest, limit))
             break
