@@ -69,6 +69,10 @@ def _signed(word: int) -> int:
     return word - (1 << 64) if word >> 63 else word
 
 
+def _at(slab: int, cell: Column) -> Column:
+    return F.struct(F.lit(slab).alias("slab"), cell.alias("cell"))
+
+
 def _step_up(cell: Column, segment: int) -> Column:
     """The cell with one bit more counted in ``segment`` (01 for 00, 10 for 01); null where both bits are set."""
     at = 2 * segment
@@ -91,12 +95,12 @@ def links(distinct: DataFrame, distance: int, radius: int = 1) -> DataFrame:
     for k, segments in enumerate(_slabs(distance, radius)):
         mask = F.lit(_signed(sum(3 << (2 * s) for s in segments)))
         cell = F.col("counts").bitwiseAND(mask)
-        homes.append(F.struct(F.lit(k).alias("slab"), cell.alias("cell")))
         steps = [_step_up(cell, s) for s in segments] if radius else []
-        probes.append(F.transform(F.array_compact(F.array(cell, *steps)), lambda c, k=k: F.struct(F.lit(k).alias("slab"), c.alias("cell"))))
+        homes.append(_at(k, cell))
+        probes += [_at(k, c) for c in (cell, *steps)]
     own = distinct.select("fp", _counts(F.col("fp")).alias("counts"))
     home = own.select(F.col("fp").alias("v"), F.explode(F.array(*homes)).alias("c")).select("v", F.col("c.slab").alias("slab"), F.col("c.cell").alias("cell"))
-    probe = own.select(F.col("fp").alias("u"), F.explode(F.flatten(F.array(*probes))).alias("c")).select("u", F.col("c.slab").alias("slab"), F.col("c.cell").alias("cell"))
+    probe = own.select(F.col("fp").alias("u"), F.explode(F.array(*probes)).alias("c")).where(F.col("c.cell").isNotNull()).select("u", F.col("c.slab").alias("slab"), F.col("c.cell").alias("cell"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
     met = probe.join(home, (probe["slab"] == home["slab"]) & (probe["cell"] == home["cell"]) & (F.col("u") != F.col("v")) & near)
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
