@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import threading
 import time
 from collections import defaultdict
@@ -28,6 +29,9 @@ from tidemark.sources.readings import canonical, in_range
 from tidemark.sources.store import Tier
 
 
+log = logging.getLogger("tidemark.engine")
+
+
 class InFlight:
     """Ranges being filled, by (sensor, width): a second query for them waits instead of filling them again."""
 
@@ -170,6 +174,7 @@ class Engine:
         try:
             for job, sensors in jobs.items():
                 piece, fine = job.piece, None
+                log.info("fill %s %s of %d sensors from %s %s at %s", of.name, piece.during, len(sensors), piece.kind, piece.tables, piece.granularity.id)
                 if piece.kind == planner.SECOND_LEVEL:
                     made = self.tier(piece.tables[0], of).read(sensors, piece.granularity, piece.during)
                     made = made if piece.granularity.id == g.id else keep(rollup.from_rollup(made, of, g, self.offset))
@@ -229,6 +234,7 @@ class Engine:
             shapes[tuple(ranges), self.config.sensors[sensor].second_level].append(sensor)
         with self._commit:
             for (ranges, routes), sensors in shapes.items():
+                log.info("invalidate %s: %d sensors, %d ranges, width %s", of.name, len(sensors), len(ranges), named.id if named else "any")
                 for tier in (self.first_level(of), *(self.tier(r.table, of) for r in routes)):
                     gone = [(g, r) for g in ([named] if named else self.config.granularities) for r in intervals.merge(intervals.align_out(r, g.seconds, self.offset) for r in ranges)]
                     tier.change_coverage((s, g, r, False) for s in sensors for g, r in gone)
@@ -268,6 +274,7 @@ class Engine:
                 with self.labelled(pool, f"warm {wanted.schema}"):
                     self.invalidate(wanted) if wanted.mode == intents.CLEAN else self.warm(wanted)
             except Exception as e:
+                log.exception("query %d failed", i)
                 errors[i] = e
 
         threads = []
