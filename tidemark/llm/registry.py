@@ -70,4 +70,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_bpe, op3_simhash, op4_packing, op5_sharding, op6_exact_dedup, op7_langid, op8_urls, op9_pii, op10_suffix_dedup, pipeline)}
-ORACLE_SQL = {"op5_sharding": sharding.oracle(SHARD_BYTES), "op6_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op5_sharding": sharding.oracle(SHARD_BYTES), "op6_exact_dedup": exact_dedup.ORACLE, "op10_suffix_dedup": suffix_dedup.ORACLE}

@@ -387,3 +387,22 @@ def _splitters(docs: DataFrame, total: int, buckets: int, length: int, gram: int
     sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, 20_000).alias("text"), F.xxhash64(F.lit("sample"), "doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCS).drop("h")
     leads = np.sort(find_runs(Chunk(sample.toArrow()), length, gram).lead)
     return np.unique(leads[np.linspace(0, len(leads) - 1, buckets + 1)[1:-1].astype(int)]) if len(leads) else leads
+
+
+#: The same result from every window of every text: slow, but plain SQL.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 49)) AS p, h FROM d WHERE n >= 50),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM w),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM s) WHERE least < doc_id),
+edge AS (SELECT *, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS span
+         FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM hit)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM edge GROUP BY doc_id, span),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM spans),
+kept AS (SELECT c.doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed,
+                string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h
+         FROM cut c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""
