@@ -23,19 +23,25 @@ EVEN_BITS = 0x5555555555555555
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """64-bit SimHash of ``text``'s word shingles as a signed number; 0 for a text without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """64-bit hashes of ``text``'s word shingles in order of occurrence; none for a text without words."""
     words = text.translate(LOWER).split()  # splits on ASCII white space only
-    if not words:
-        return 0
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = np.concatenate([[0], ends[: len(words) - width]]).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate([[0], ends[: len(words) - width]]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """64-bit SimHash of ``text``'s word shingles as a signed number; 0 for a text without words."""
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of ``hashes`` have, as a signed number."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
