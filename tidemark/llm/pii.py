@@ -4,9 +4,10 @@ Base spans come from one linear pass per kind over the whole text. They seed the
 form lexical patterns (the two words before, the word before with the word after), and any identifier-like string in
 such surroundings is an instance. Spark holds the pattern-instance pairs as one table and scores it in rounds: a
 pattern is as good as the share of its instances that belong to a kind, an instance as good as the patterns it occurs
-in, seeds staying fixed. Patterns that end above ``min_confidence`` with ``min_support`` different seeds are promoted,
-at most ``max_patterns`` of them (a model size, the best ones), and broadcast; identifier-like strings in their
-surroundings which no base span covers are the spans the method adds. Statistics cover every document.
+in, seeds staying fixed. All patterns that end above ``min_confidence`` with ``min_support`` different seeds are promoted
+with the shapes of their unseen instances; up to ``max_patterns`` are broadcast, more are joined with the instances.
+Identifier-like strings in their surroundings which no base span covers are the spans the method adds. Statistics cover
+every document.
 
 Null texts count as empty; such rows have no spans. Repeated rows are reported each. Empty tables give no rows. Equal
 scores are ordered by the pattern's own text. Further columns are ignored.
@@ -38,6 +39,7 @@ INSTANCE = re.compile(r"[A-Za-z0-9][A-Za-z0-9@._%+/:-]{4,62}[A-Za-z0-9]")
 CONTEXT_CHARS = 48
 MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS, MAX_PATTERNS = 3, 0.8, 3, 5_000
 WORD = re.compile(r"[^\s]+")
+CANDIDATE = pa.schema([("key", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("rank", pa.int32()), ("pattern", pa.string()), ("shape", pa.string())])
 
 
 def _luhn(digits: str) -> bool:
@@ -133,8 +135,11 @@ def pattern_instances(docs: DataFrame) -> DataFrame:
     return found.groupBy("pattern", "shape", "instance", "kind").agg(F.sum("n").alias("n"))
 
 
-def bootstrap(docs: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS, max_patterns: int = MAX_PATTERNS) -> dict[tuple[str, str], str]:
-    """Promoted patterns: (words, shape) -> kind. Only patterns that seeds occur in enough take part in the rounds."""
+def bootstrap(docs: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS, max_patterns: int = MAX_PATTERNS) -> dict[tuple[str, str], str] | DataFrame:
+    """Promoted patterns: (words, shape) -> kind; ``pattern, shape, promoted_kind`` as a table if more than ``max_patterns``.
+
+    Only patterns that seeds occur in enough take part in the rounds.
+    """
     edges = pattern_instances(docs)
     # A pattern's seeds: different identifiers, so that copies of one document count once.
     seeded = edges.where(F.col("kind").isNotNull()).groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= min_support)
@@ -146,12 +151,33 @@ def bootstrap(docs: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: f
         voted = graph.join(confidence.drop("seeds"), ["pattern", "for_kind"]).groupBy("instance", "for_kind").agg(F.max("confidence").alias("vote"))
         score = checkpoint(score.join(voted, ["instance", "for_kind"]).select("instance", "for_kind", F.when(F.col("fixed"), F.col("score")).otherwise(F.col("vote")).alias("score"), "fixed"))
     good = confidence.where(F.col("confidence") >= min_confidence)
-    shapes = graph.join(good, ["pattern", "for_kind"]).groupBy("pattern", "shape", "for_kind").agg(F.max("confidence").alias("confidence"), F.max(graph["seeds"]).alias("support"))
-    best = shapes.orderBy(F.col("confidence").desc(), F.col("support").desc(), "pattern", "shape", "for_kind").limit(max_patterns)
-    promoted: dict[tuple[str, str], str] = {}
-    for r in best.collect():  # at most max_patterns rows
-        promoted.setdefault((r["pattern"], r["shape"]), r["for_kind"])
-    return promoted
+    # Shapes of base spans alone would add nothing.
+    shapes = graph.where(F.col("kind").isNull()).join(good.drop("seeds"), ["pattern", "for_kind"]).groupBy("pattern", "shape", "for_kind").agg(F.max("confidence").alias("confidence"), F.max("seeds").alias("support"))
+    best = F.min_by("for_kind", F.struct(-F.col("confidence"), -F.col("support"), "for_kind"))
+    promoted = checkpoint(shapes.groupBy("pattern", "shape").agg(best.alias("promoted_kind")))
+    if promoted.count() > max_patterns:
+        return promoted
+    return {(r["pattern"], r["shape"]): r["promoted_kind"] for r in promoted.collect()}  # at most max_patterns rows
+
+
+def _added(docs: DataFrame, promoted: DataFrame) -> DataFrame:
+    """``docs`` with ``__added``: the spans that a table of promoted patterns adds to each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            rows = []
+            for key, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                for a, b, kind in _instances(text, base_spans(text)):
+                    if kind is None:
+                        rows += [(key, a, b, rank, p, _shape(text[a:b])) for rank, p in enumerate(_patterns(text, a, b))]
+            yield pa.RecordBatch.from_pylist([dict(zip(CANDIDATE.names, r)) for r in rows], schema=CANDIDATE)
+
+    # Spans follow from the text, so its digest names them whatever the ids are.
+    keyed = docs.withColumn("__key", F.sha2("text", 256))
+    open_ = keyed.where(F.col("text").isNotNull()).select("__key", "text").mapInArrow(run, "key string, a long, b long, rank int, pattern string, shape string")
+    hits = open_.join(promoted, ["pattern", "shape"]).groupBy("key", "a", "b").agg(F.min_by("promoted_kind", "rank").alias("kind"))
+    spans = hits.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("kind", "a", "b")).alias("__added"))
+    return keyed.join(spans, "__key", "left").select(*(docs[c] for c in docs.columns), "__added")
 
 
 def all_spans(text: str, promoted: dict[tuple[str, str], str]) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
@@ -168,15 +194,18 @@ def all_spans(text: str, promoted: dict[tuple[str, str], str]) -> tuple[dict[str
     return base, spans
 
 
-def find(docs: DataFrame, promoted: dict[tuple[str, str], str] | None = None) -> DataFrame:
+def find(docs: DataFrame, promoted: dict[tuple[str, str], str] | DataFrame | None = None) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for every whole text; the counts are of base spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(bootstrap(docs) if promoted is None else promoted)
+    promoted = bootstrap(docs) if promoted is None else promoted
+    joined = isinstance(promoted, DataFrame)
+    shared = docs.sparkSession.sparkContext.broadcast({} if joined else promoted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             base, spans = [], []
-            for text in batch.column(1).to_pylist():
+            for text, more in zip(batch.column(1).to_pylist(), _more(batch, joined)):
                 b, s = all_spans(text or "", shared.value)
+                s += more
                 base.append(b)
                 spans.append(s)
             yield pa.RecordBatch.from_arrays(
@@ -190,20 +219,31 @@ def find(docs: DataFrame, promoted: dict[tuple[str, str], str] | None = None) ->
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    rows = docs.select("doc_id", "text")
+    return (_added(rows, promoted) if joined else rows).mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
-def mask(docs: DataFrame, promoted: dict[tuple[str, str], str] | None = None) -> DataFrame:
+def mask(docs: DataFrame, promoted: dict[tuple[str, str], str] | DataFrame | None = None) -> DataFrame:
     """The same rows and columns, each span in ``text`` replaced by its kind in angle brackets; null texts stay null."""
-    shared = docs.sparkSession.sparkContext.broadcast(bootstrap(docs) if promoted is None else promoted)
+    promoted = bootstrap(docs) if promoted is None else promoted
+    joined = isinstance(promoted, DataFrame)
+    shared = docs.sparkSession.sparkContext.broadcast({} if joined else promoted)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            out = [None if t is None else _masked(t, all_spans(t, shared.value)[1]) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            out = [None if t is None else _masked(t, all_spans(t, shared.value)[1] + more) for t, more in zip(batch.column(at).to_pylist(), _more(batch, joined))]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type)).select(names)
+
+    names = docs.columns
+    return (_added(docs, promoted) if joined else docs).mapInArrow(run, docs.schema)
+
 
-    return docs.mapInArrow(run, docs.schema)
+def _more(batch: pa.RecordBatch, joined: bool) -> list[list[tuple[str, int, int]]]:
+    """The spans that ``_added`` joined to each row."""
+    if not joined:
+        return [[]] * batch.num_rows
+    return [[(m["kind"], m["a"], m["b"]) for m in row or []] for row in batch.column("__added").to_pylist()]
 
 
 def _masked(text: str, spans: list[tuple[str, int, int]]) -> str:
