@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, langid, pii, sharding, urls
+from tidemark.llm import ann, langid, pii, sharding
 
 SYLLABLES = {"aa": ["ka", "ro", "mi", "tu"], "bb": ["sch", "ung", "ber", "ein"], "cc": ["eau", "ois", "tion", "que"]}
 
@@ -86,37 +86,6 @@ def test_bootstrap_finds_what_keeps_known_company(spark, docs_of):
     assert pii.find(docs.limit(0)).count() == 0 and pii.mask(docs).columns == docs.columns
 
 
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-
-
-def test_urls(spark):
-    rows = [
-        (1, "http://A.Example.COM/en/5?x#y", "a.example.com", "/en/5", "com/en/", "block"),
-        (2, "http://example.com/en/77", "example.com", "/en/77", "example.com/en/7", "allow"),
-        (3, "http://notexample.com/en/77", "notexample.com", "/en/77", "com/en/", "block"),
-        (4, "x://b.example.net/de/8", "b.example.net", "/de/8", "example.net/de/8", "block"),
-        (5, "https://q.net/de/8", "q.net", "/de/8", "net/de/", "allow"),
-        (6, "https://org/es/", "org", "/es/", "org/es/", "block"),
-        (7, "https://casinowin.example.org", "casinowin.example.org", "", None, "block"),
-        (8, "https://garden.example.org?a://b", "garden.example.org", "", None, "allow"),
-        (9, None, "", "", None, "allow"),
-        (10, "no scheme.com/en/", "", "", None, "allow"),
-        (11, "", "", "", None, "allow"),
-    ]
-    more = [(100 + i, f"http://{h}.example.org/fr/{i}", None) for i, h in enumerate(["casino-win", "garden", "garden", "kitchen-win", "garden"] * 8)]
-    html = "<html><script>casino</script><p>garden win kitchen win</p></html>"
-    pages = spark.createDataFrame([(i, u, html) for i, u, *_ in rows] + [(i, u, None) for i, u, _ in more], "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in urls.judge(pages, RULES).collect()}
-    for i, _, *expected in rows:
-        assert [got[i][c] for c in ("host", "path", "rule", "verdict")] == expected, i
-    assert len(got) == pages.count() and urls.judge(pages.limit(0), RULES).count() == 0
-
-
-def test_word_split():
-    words = urls.Words({"cheap": 50, "pills": 50, "pill": 20, "farm": 30, "spam": 30})
-    assert words.split("cheappills") == ["cheap", "pills"] and words.split("spamfarm") == ["spam", "farm"] and words.split("zzq") == ["zzq"]
-
-
 def test_shards(spark, docs_of):
     rng = random.Random(4)
     rows = [(i, "x" * rng.randint(0, 200)) for i in range(600)] + [(1000, None), (1001, ""), (None, "abc"), (1002, "y" * 3000), *[(77, "z" * 100)] * 30]

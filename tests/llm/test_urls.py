@@ -1,0 +1,156 @@
+"""The url filter against plain versions: rules in SQL, splits by trying all, naive Bayes over dictionaries."""
+
+import itertools
+import math
+import random
+import re
+import time
+from collections import Counter
+
+import duckdb
+from tidemark.llm import registry, urls
+
+RULES = registry.URL_RULES
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(i, u, h, "http://clash", "x", 1.0) for i, u, h in rows], "page_id long, url string, html string, host string, words string, score double").repartition(3)
+
+
+def plain_split(piece, counts, total):
+    """The cheapest of all ways to cut; of equal ones the first by the rule."""
+    best = None
+    for cuts in itertools.product((0, 1), repeat=len(piece) - 1):
+        words, at = [], 0
+        for i, c in enumerate(cuts, 1):
+            if c:
+                words.append(piece[at:i])
+                at = i
+        words.append(piece[at:])
+        cost = sum(-math.log(counts[w] / total) if w in counts else -math.log(10 / total / 10 ** len(w)) for w in words)
+        if best is None or cost < best[0] - 1e-9:
+            best = cost, words
+    return best
+
+
+def test_split_is_the_likeliest():
+    rng = random.Random(1)
+    for _ in range(200):
+        counts = {"".join(rng.choice("ab\u00e9") for _ in range(rng.randint(1, 4))): rng.randint(1, 50) for _ in range(6)}
+        total = sum(counts.values()) + 100
+        piece = "".join(rng.choice("ab\u00e9") for _ in range(rng.randint(1, 10)))
+        cost = lambda words: sum(math.log(total / counts[w]) if w in counts else math.log(total) + (len(w) - 1) * math.log(10) for w in words)  # noqa: B023, E731
+        words = urls.split(piece, counts, total)
+        assert "".join(words) == piece and abs(cost(words) - plain_split(piece, counts, total)[0]) < 1e-6
+    assert urls.split("cheappills", {"cheap": 50, "pills": 50, "pill": 20}, 200) == ["cheap", "pills"] and urls.split("zzq", {}, 100) == ["zzq"]
+
+
+def test_visible_text():
+    cases = {
+        "<p>a<b>b</b></p>": "a b", "a<!-- <p>x --> b": "a b", "<SCRIPT x>casino</script >c": "c", "<style>p{}</STYLE>d": "d", "e<script>f": "e", "g<!-- h": "g", "i<p": "i",
+        "1 < 2 &amp; 3": "1 < 2 & 3", "<scripty>j</scripty>": "j", "<!doctype html>k": "k", "</script>l": "l", "<script></script": "",
+    }
+    for page, expected in cases.items():
+        assert urls.visible(page).split() == expected.split(), page
+
+    def seconds(unit, n):
+        start = time.perf_counter()
+        urls.visible(unit * n)
+        return time.perf_counter() - start
+
+    for unit in ("<script ", "<!--", "<p", "<style>", "< ", "<script></script", "a"):
+        assert seconds(unit, 160_000) < 20 * seconds(unit, 20_000) + 0.5, unit
+
+
+def plain_rule(host, path):
+    fits = [(v, r) for v, r in RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+    return max(fits, key=lambda f: len(f[1]), default=(None, None))
+
+
+def plain_judge(rows, counts):
+    """(host, path, rule, verdict, score) by page, with naive Bayes over the words themselves."""
+    total = sum(counts.values()) + 100
+    out, examples = {}, {"block": [], "allow": []}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for i, url, _ in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate(lower)
+        words = []
+        for piece in re.findall(r"[^\W\d_]+|[0-9]+", host):
+            words += [("h", "#")] if piece[0].isdigit() else [("h", w) for w in (plain_split(piece, counts, total)[1] if len(piece) <= 63 else [piece])]
+        words += [("p", "#" if w[0] in "0123456789" else w) for w in re.findall(r"[^\W\d_]+|[0-9]+", path.lower())]
+        verdict, rule = plain_rule(host, path) if host else (None, None)
+        if rule:
+            examples[verdict].append(words)
+        out[i] = host, path, rule, verdict, words
+    seen = {c: Counter(w for ws in examples[c] for w in ws) for c in examples}
+    size = len(seen["block"] | seen["allow"]) + 1
+    held = {c: sum(seen[c].values()) + 0.5 * size for c in seen}
+    prior = math.log((len(examples["block"]) + 0.5) / (len(examples["allow"]) + 0.5))
+    for i, (host, path, rule, verdict, words) in out.items():
+        score = prior + sum(math.log((seen["block"][w] + 0.5) / held["block"] / ((seen["allow"][w] + 0.5) / held["allow"])) for w in words if w in seen["block"] or w in seen["allow"])
+        score = score if host or path else -math.inf
+        out[i] = host, path, rule, verdict or ("block" if score > 0 else "allow"), score
+    return out
+
+
+def corpus():
+    rng = random.Random(2)
+    vocabulary = ["casino", "win", "garden", "kitchen", "news", "\u00e9cole", "\u0448\u043a\u043e\u043b\u0430", "bet"]
+    rows = []
+    for i in range(400):
+        words = rng.sample(vocabulary, 2) if i % 2 else [rng.choice(["casino", "bet"]), rng.choice(vocabulary)]
+        tld = rng.choice(["com", "com", "net", "org"])
+        lang = rng.choice(["en", "de", "es"])
+        if {"casino", "bet"} & set(words) and rng.random() < 0.7:
+            tld, lang = "com", "en"
+        rows.append((i, f"http://{''.join(words)}.{rng.choice(['example.', ''])}{tld}/{lang}/{rng.randint(1, 99)}", f"<html><script>casino</script><p>{' '.join(rng.choices(vocabulary, k=9))} the of</p></html>"))
+    odd = [
+        "http://A.Example.COM/en/5?x#y", "http://example.com/en/77", "http://notexample.com/en/77", "x://b.example.net/de/8", "https://q.net/de/8", "https://org/es/", "https://org/es",
+        "https://casinowin.example.org", "https://gardennews.example.org?a://b", None, "no scheme.com/en/", "", "://", ":///en/", "http://com/en/", "http://com./en/x", "http://.com/en/x",
+        "http://\u0448\u043a\u043e\u043b\u0430bet.example.org/fr/1", "http://" + "z" * 70 + ".net/fr/", "http://q.org/" + "casino/" * 300, "http://x.org/%20/\u0660\u00b2", "\nhttp://a\nb.com/en/\n",
+    ]
+    return rows + [(1000 + k, u, None if k % 2 else "<p>the") for k, u in enumerate(odd)]
+
+
+def test_judge_equals_a_plain_one(spark):
+    rows = corpus()
+    counts = Counter(w for _, _, h in rows for w in re.findall(r"[^\W\d_]+", re.sub("<script>.*?</script>|<[^>]*>", " ", h or "")))
+    expected = plain_judge(rows, counts)
+    pages = pages_of(spark, [*rows, rows[0], (None, rows[1][1], None)])
+    # The added rows change the counts of examples: they are examples like others.
+    expected = plain_judge([*rows, (-1, rows[0][1], None), (None, rows[1][1], None)], counts + Counter(re.findall(r"[^\W\d_]+", re.sub("<script>.*?</script>|<[^>]*>", " ", rows[0][2]))))
+    out = urls.judge(pages, RULES).collect()
+    assert len(out) == len(rows) + 2
+    for r in out:
+        host, path, rule, verdict, score = expected[r["page_id"]]
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict), r
+        assert r["score"] == score or abs(r["score"] - score) < 1e-9, r
+    free = [r for r in out if r["rule"] is None and r["host"]]
+    assert {r["verdict"] for r in free} == {"allow", "block"}  # what rules block elsewhere is blocked here
+    assert next(r for r in out if r["page_id"] == 1007)["verdict"] == "block"
+
+
+def test_host_path_and_rule_in_sql(spark, tmp_path):
+    """What SQL can say of the registered query."""
+    urls.judge(pages_of(spark, corpus()), RULES).select("page_id", "host", "path", "rule").write.parquet(str(tmp_path / "got"))
+    pages_of(spark, corpus()).select("page_id", "url").write.parquet(str(tmp_path / "pages"))
+    rules = ", ".join(f"('{r.split('/')[0]}', '{r[r.index('/') :]}', '{r}')" for _, r in RULES)
+    sql = f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS rest FROM '{tmp_path}/pages/*.parquet'),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest[length(raw) + 1:], '^[^?#]*') AS path FROM h)
+SELECT page_id, host, path, (SELECT max_by(rule, length(rule)) FROM (VALUES {rules}) v(h, s, rule) WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)) AS rule FROM p"""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE expected AS {sql}")
+    con.execute(f"CREATE TABLE got AS SELECT * FROM '{tmp_path}/got/*.parquet'")
+    assert con.execute("SELECT count(*) FROM got").fetchone()[0] == len(corpus())
+    assert con.execute("SELECT * FROM got EXCEPT ALL SELECT * FROM expected").fetchall() == []
+
+
+def test_no_rules_no_examples_no_rows(spark):
+    pages = pages_of(spark, [(1, "http://a.b/c", "<p>a"), (2, None, None)])
+    assert {r["verdict"] for r in urls.judge(pages, []).collect()} == {"allow"}
+    assert urls.judge(pages.limit(0), RULES).count() == 0
