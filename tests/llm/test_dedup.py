@@ -85,7 +85,7 @@ def test_links_lose_nothing(spark):
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     frame = spark.createDataFrame([(p,) for p in signed], "fp long")
     for distance in (0, 1, 3, 4, 7):
-        for radius in (0, 1):
+        for radius in (0, 1, 2):
             got = {(r["u"], r["v"]) for r in simhash.links(frame, distance, radius).collect()}
             assert got == {(a, b) for a in signed for b in signed if a > b and ((a ^ b) & (1 << 64) - 1).bit_count() <= distance}
 
@@ -106,8 +106,10 @@ def test_near_duplicates(spark, docs_of):
     least = brute_components(prints, 4)
     assert len(got) == len(rows)
     assert all(int(r["fingerprint"], 16) == prints[r["doc_id"]] and len(r["fingerprint"]) == 16 and r["component_id"] == least[r["doc_id"]] for r in got)
-    kept = simhash.representatives(docs_of([*rows, (None, "of no id")]), 4, 4)
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] not in (None, 7)) == sorted(i for i in least if least[i] == i and i != 7)
+    docs = docs_of([*rows, (None, "of no id"), (None, "of no id"), (None, rows[0][1]), (2, "two words"), (4, "a text under a second id")])
+    kept = simhash.representatives(docs, 4, 4)
+    expected = [(i, t) for i, t in dict(rows).items() if least[i] == i and i != 4] + [(None, "of no id"), (2, "two words"), (4, "a text under a second id")]
+    assert kept.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(expected, key=str)
     assert simhash.near_duplicates(docs_of(rows).limit(0)).count() == 0
 
 

@@ -7,7 +7,7 @@ driver. A hub's edges are met by a join that adaptive execution may split, never
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint
@@ -38,3 +38,29 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = tuple(print_)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
+
+def one_of_each(docs: DataFrame, tagged: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their group: one row of each ``root``.
+
+    ``tagged(id, key, root)`` holds a row for every row of ``docs``; ``key`` is ``row_key`` of the text. The least id
+    stays (null after all others), of several texts with it the one of the least key, of repeated rows any one.
+    """
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    stay = tagged.groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.min_by(F.struct("id", "key", "n"), order).alias("best"))
+    stay = checkpoint(stay.select(F.col("best.id").alias("__id"), F.col("best.key").alias("__key"), F.col("best.n").alias("__n")))
+
+    def rows(of: DataFrame) -> DataFrame:
+        return docs.join(of, docs[id_col].eqNullSafe(of["__id"]) & (row_key(docs[text_col]) == of["__key"]), "left_semi")
+
+    once, often = stay.where("__n = 1"), stay.where("__n > 1")
+    if often.isEmpty():
+        return rows(stay)
+    # Rows that agree in id and text: any one of them.
+    repeated = rows(often).withColumn("__text", row_key(F.col(text_col)))
+    return rows(once).unionByName(repeated.dropDuplicates([id_col, "__text"]).drop("__text"))
+
+
+def row_key(text: Column) -> Column:
+    """What tells texts under one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))

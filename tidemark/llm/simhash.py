@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, text_slices, texts
-from tidemark.llm.components import components
+from tidemark.llm.components import components, one_of_each, row_key
 
 SEED = 42
 #: Every other bit of a 64-bit word.
@@ -49,14 +49,14 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, fp``: the fingerprint of every whole text; null counts as empty."""
+    """``id, key, fp``: the fingerprint of every whole text, and its row key; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t, width) for t in texts(batch)], pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(t, width) for t in texts(batch)], pa.int64())], names=["id", "key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(docs[id_col].alias("id"), row_key(docs[text_col]).alias("key"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, key long, fp long")
 
 
 def _counts(fp: Column) -> Column:
@@ -79,39 +79,56 @@ def _at(slab: int, cell: Column) -> Column:
     return F.struct(F.lit(slab).alias("slab"), cell.alias("cell"))
 
 
-def _step_up(cell: Column, segment: int) -> Column:
-    """The cell with one bit more counted in ``segment`` (01 for 00, 10 for 01); null where both bits are set."""
+def _moved(cell: Column, segment: int, up: bool) -> Column:
+    """The cell with one bit more (or less) counted in ``segment``; null where no more (or none) are."""
     at = 2 * segment
     count = F.shiftrightunsigned(cell, at).bitwiseAND(F.lit(3))
-    return F.when(count == 0, cell.bitwiseXOR(F.lit(_signed(1 << at)))).when(count == 1, cell.bitwiseXOR(F.lit(_signed(3 << at))))
+    one, three = F.lit(_signed(1 << at)), F.lit(_signed(3 << at))
+    between = ((0, one), (1, three)) if up else ((1, one), (2, three))  # 00 and 01 differ by 01, 01 and 10 by 11
+    return F.when(count == between[0][0], cell.bitwiseXOR(between[0][1])).when(count == between[1][0], cell.bitwiseXOR(between[1][1]))
 
 
-def links(distinct: DataFrame, distance: int, radius: int = 1) -> DataFrame:
+def _stands(own: DataFrame, slabs: list[list[int]], moves: tuple[bool, ...]) -> DataFrame:
+    """``fp, slab, cell``: each fingerprint in the cell of every slab, and in those one of ``moves`` away."""
+    cells = []
+    for k, segments in enumerate(slabs):
+        cell = F.col("counts").bitwiseAND(F.lit(_signed(sum(3 << (2 * s) for s in segments))))
+        cells += [_at(k, c) for c in (cell, *(_moved(cell, s, up) for up in moves for s in segments))]
+    return own.select("fp", F.explode(F.array(*cells)).alias("c")).where(F.col("c.cell").isNotNull()).select("fp", F.col("c.slab").alias("slab"), F.col("c.cell").alias("cell"))
+
+
+def links(distinct: DataFrame, distance: int, radius: int = 2) -> DataFrame:
     """``u, v`` (u > v): pairs of the distinct fingerprints ``fp`` that differ in at most ``distance`` bits.
 
     Bits that differ change the segment counts by no more than their number, so the counts' Manhattan distance is a
-    lower bound. Of the slabs the segments are dealt into, one at least is within ``radius`` (0 or 1). The slab's
-    counts are a grid cell; each fingerprint stands in its own cell and looks there and, for radius 1, in the cells
-    one step up in one segment (the other of a pair one step apart looks up from below). Candidates meet by an
-    equi-join on the cell, and the exact bit difference is tested inside the join.
+    lower bound. Of the slabs the segments are dealt into, one at least is within ``radius`` (0 to 2); a slab's counts
+    are a grid cell. For radius 0 fingerprints meet in their own cell. For radius 1 one side also stands in the cells
+    one step up, since of a pair one step apart one is below. For radius 2 both sides stand in the cells one step up
+    or down: of a pair two steps apart, some cell is one step from each. Wider slabs hold more bits, so they give
+    fewer candidates for more cells. Candidates meet by an equi-join on the cell, and the exact bit difference is
+    tested inside the join.
     """
-    if radius not in (0, 1):
-        raise ValueError("radius must be 0 or 1")
-    homes, probes = [], []
-    for k, segments in enumerate(_slabs(distance, radius)):
-        mask = F.lit(_signed(sum(3 << (2 * s) for s in segments)))
-        cell = F.col("counts").bitwiseAND(mask)
-        steps = [_step_up(cell, s) for s in segments] if radius else []
-        homes.append(_at(k, cell))
-        probes += [_at(k, c) for c in (cell, *steps)]
+    if radius not in (0, 1, 2):
+        raise ValueError("radius must be 0, 1 or 2")
+    slabs = _slabs(distance, radius)
     own = distinct.select("fp", _counts(F.col("fp")).alias("counts"))
-    home = own.select(F.col("fp").alias("v"), F.explode(F.array(*homes)).alias("c")).select("v", F.col("c.slab").alias("slab"), F.col("c.cell").alias("cell"))
-    probe = own.select(F.col("fp").alias("u"), F.explode(F.array(*probes)).alias("c")).where(F.col("c.cell").isNotNull()).select("u", F.col("c.slab").alias("slab"), F.col("c.cell").alias("cell"))
+    left = _stands(own, slabs, ((), (True,), (True, False))[radius]).withColumnRenamed("fp", "u")
+    right = (left if radius == 2 else _stands(own, slabs, ())).toDF("v", "slab_v", "cell_v")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    met = probe.join(home, (probe["slab"] == home["slab"]) & (probe["cell"] == home["cell"]) & (F.col("u") != F.col("v")) & near)
+    order = F.col("u") != F.col("v") if radius == 1 else F.col("u") > F.col("v")
+    met = left.join(right, (F.col("slab") == F.col("slab_v")) & (F.col("cell") == F.col("cell_v")) & order & near)
     return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _rooted(prints: DataFrame, distance: int) -> DataFrame:
+    """``fp, root, component_id`` of each distinct fingerprint."""
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("least_id"))
+    roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id``: whole texts whose fingerprints link at ``distance`` bits or fewer.
 
@@ -121,17 +138,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 4, id_col:
     table gives no rows.
     """
     prints = checkpoint(fingerprints(docs, width, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least_id"))
-    roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
     # A fingerprint that many rows share is on one side only, which adaptive execution splits.
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(_rooted(prints, distance), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose id names their component: one document of each group."""
-    found = near_duplicates(docs, width, distance, id_col, text_col)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stays")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stays"]), "left_semi")
+    """One row, with all its columns, of each component: see ``one_of_each``."""
+    prints = checkpoint(fingerprints(docs, width, id_col, text_col))
+    return one_of_each(docs, prints.join(_rooted(prints, distance), "fp").select("id", "key", "root"), id_col, text_col)
