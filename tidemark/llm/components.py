@@ -44,21 +44,22 @@ def one_of_each(docs: DataFrame, tagged: DataFrame, id_col: str, text_col: str)
     """The rows of ``docs``, with all their columns, that stand for their group: one row of each ``root``.
 
     ``tagged(id, key, root)`` holds a row for every row of ``docs``; ``key`` is ``row_key`` of the text. The least id
-    stays (null after all others), of several texts with it the one of the least key, of repeated rows any one.
+    stays (null after all others), of several texts with it the one of the least key, of repeated rows any one. The
+    rows that go are told, so that adaptive execution can send them to the texts where they are few.
     """
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    stay = tagged.groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.min_by(F.struct("id", "key", "n"), order).alias("best"))
-    stay = checkpoint(stay.select(F.col("best.id").alias("__id"), F.col("best.key").alias("__key"), F.col("best.n").alias("__n")))
+    counted = checkpoint(tagged.groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n")))
+    best = counted.groupBy("root").agg(F.min_by(F.struct("id", "key"), order).alias("best"))
+    told = counted.join(best, "root").select(F.col("id").alias("__id"), F.col("key").alias("__key"), "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))).alias("stays"))
 
-    def rows(of: DataFrame) -> DataFrame:
-        return docs.join(of, docs[id_col].eqNullSafe(of["__id"]) & (row_key(docs[text_col]) == of["__key"]), "left_semi")
+    def without(rows: DataFrame, kind: str) -> DataFrame:
+        return docs.join(rows, docs[id_col].eqNullSafe(rows["__id"]) & (row_key(docs[text_col]) == rows["__key"]), kind)
 
-    once, often = stay.where("__n = 1"), stay.where("__n > 1")
-    if often.isEmpty():
-        return rows(stay)
+    if counted.where("n > 1").isEmpty():
+        return without(told.where("not stays"), "left_anti")
     # Rows that agree in id and text: any one of them.
-    repeated = rows(often).withColumn("__text", row_key(F.col(text_col)))
-    return rows(once).unionByName(repeated.dropDuplicates([id_col, "__text"]).drop("__text"))
+    repeated = without(told.where("stays and n > 1"), "left_semi").withColumn("__text", row_key(F.col(text_col)))
+    return without(told.where("not stays or n > 1"), "left_anti").unionByName(repeated.dropDuplicates([id_col, "__text"]).drop("__text"))
 
 
 def row_key(text: Column) -> Column:
