@@ -160,3 +160,36 @@ def test_repeats(spark, docs_of, monkeypatch):
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in out)
     assert suffix_dedup.remove_repeats(docs_of(rows).limit(0)).count() == 0
     assert suffix_dedup.remove_repeats(docs_of([(1, None), (2, "short")])).count() == 2
+
+
+def test_repeats_around_a_line_that_all_documents_hold(spark, docs_of, monkeypatch):
+    """Random text around one line of 40 letters: the windows over it go one by one, and no bucket holds them all."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", (6000, 64 << 20))
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 8000)
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line = "this line stands in every document here."
+    rows = [(i, noise(rng.randint(0, 120)) + line + noise(rng.randint(0, 120))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1][:-30] + noise(20)) for i in range(60)] + [(2000, line * 30), (2001, line * 20), (None, rows[3][1]), (5, rows[5][1])]
+    out = suffix_dedup.remove_repeats(docs_of(rows, 4)).collect()
+    assert sorted([tuple(r) for r in out], key=str) == brute_repeats(rows)
+
+
+def test_phrases_of_one_name_are_told_apart():
+    import pyarrow as pa
+
+    chunk = suffix_dedup.Chunk(pa.table({"doc_id": [1, 2, 3], "text": ["a" * 60, "b" * 60, "a" * 60]}))
+    runs = suffix_dedup.find_runs(chunk)
+    same = np.zeros(len(runs.start), dtype=np.uint64)
+    number, _, _ = suffix_dedup._phrases(chunk, runs._replace(names=(same, same)), suffix_dedup.LENGTH)
+    exact, _, _ = suffix_dedup._phrases(chunk, runs, suffix_dedup.LENGTH)
+    assert len(set(number)) == len(set(exact)) and all((number[i] == number[j]) == (exact[i] == exact[j]) for i in range(len(number)) for j in range(len(number)))
+
+
+def test_splitters_part_anchors_of_one_lead(spark, docs_of):
+    """Eight leading bytes that all anchors share do not put them into one bucket."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("prefixed" + "".join(rng.choice("abcdefgh") for _ in range(16)) for _ in range(20))) for i in range(200)]
+    bounds = suffix_dedup._splitters(docs_of(rows), sum(len(t) for _, t in rows), 16, suffix_dedup.LENGTH, suffix_dedup.GRAM)
+    assert len(bounds) == 15

@@ -2,18 +2,24 @@
 
 Only strings of ``length`` bytes matter, so the suffixes are taken at those starts; and a string can only repeat if a
 part of it does. Each window of ``length`` bytes is represented by its anchor, the n-gram inside it with the least
-hash: equal windows have equal anchors at equal places. A maximal run of windows with one anchor is a phrase.
+hash: equal windows have equal anchors at equal places. A maximal run of windows with one anchor is a phrase. So this
+is not a suffix array over every byte: suffixes whose anchor no other document has are never sorted, and what ranges
+are cut by is the anchor's leading bytes, not the suffix's. The results are those of the full array.
 
 1. Documents are dealt into chunks, which bound memory and combine before every shuffle. A chunk sends out the hashes
-   of its anchors, packed, to buckets by hash; a bucket answers which of them other documents have too.
+   of its anchors, packed, to buckets by hash; a bucket answers which of them other documents have too, and which of
+   these have more than ``HOT_BYTES`` of phrases.
 2. For those anchors the chunk sends each distinct phrase once, with the smallest and greatest id that has it, to a
-   range bucket: sampled splitters part the anchors' leading bytes. Equal leading bytes are never parted, so strings
-   on two sides of a boundary differ within it and nothing can match across.
+   range bucket: sampled splitters part the anchors by all their bytes (and a hash parts each range further where more
+   buckets are needed than splitters are kept). Equal anchors are never parted, so strings on two sides of a boundary
+   differ within their anchor, which settles the comparison across it. A hot anchor, say of a line that a third of all
+   documents hold, would fill a bucket: its windows go one by one, dealt by a hash of all their bytes. Equal windows
+   meet, and a chunk sends each once for each phrase, so nothing but copies can pile up.
 3. A bucket sorts the suffixes at all its windows by multikey quicksort (a character is eight bytes; each round sorts
    only what is still tied) and compares neighbours: a run of equals takes the smallest id in it.
 4. The chunk gets back, per phrase, the smallest id for each stretch of windows, and marks in each of its documents
-   what a smaller id has too. All comparisons are of whole bytes; hashes only choose candidates and name phrases inside
-   one chunk (128 bits).
+   what a smaller id has too. Hashes choose candidates and name phrases inside one chunk, where bytes confirm them;
+   equality is always of whole bytes.
 
 One exchange of the texts serves all steps. Null texts count as empty. Null ids count as greater than all others, and
 rows with equal ids never remove from each other. Texts shorter than ``length`` stay whole. Empty tables give no rows.
@@ -34,8 +40,9 @@ from pyspark.sql import functions as F
 LENGTH, GRAM = 50, 24
 STEP = 1 << 19
 #: Bounds of a chunk's text, the number of chunks aimed at between them, and the text behind one bucket.
-CHUNK_BYTES, CHUNKS, BUCKET_BYTES = (2 << 20, 64 << 20), 192, 8 << 20
-SAMPLE_DOCS = 400
+CHUNK_BYTES, CHUNKS, BUCKET_BYTES = (2 << 20, 24 << 20), 192, 8 << 20
+#: Bytes of phrases from which an anchor is hot; splitters kept at most, anchors drawn for each, and the bytes of a drawn slice.
+HOT_BYTES, MAX_SPLITTERS, SAMPLED, SLICE = 2 << 20, 1 << 16, 16, 1 << 16
 LAST = np.iinfo(np.int64).max
 #: Odd multipliers.
 M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], dtype=np.uint64)
@@ -149,14 +156,45 @@ def _doc_ids(chunk: Chunk, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, chunk.ids[row]
 
 
-def _phrases(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase number of each run (by name), an order of the runs by phrase, and each phrase's first place in it."""
+def _phrases(chunk: Chunk, runs: Runs, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase number of each run, an order of the runs by phrase, and each phrase's first place in it."""
     order, first = _grouped(*runs.names)
+    if len(first) and not _confirmed(chunk.buffer, runs, order, first, length):
+        # Two phrases of one name: tell all phrases apart by their bytes.
+        texts = [chunk.buffer[a : a + n].tobytes() for a, n in zip(runs.start.tolist(), (runs.count + length - 1).tolist())]
+        numbers: dict[bytes, int] = {}
+        order, first = _grouped(np.array([numbers.setdefault(t, len(numbers)) for t in texts], dtype=np.int64))
     number = np.zeros(len(order), dtype=np.int64)
     number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     return number, order, first
 
 
+def _confirmed(buffer: np.ndarray, runs: Runs, order: np.ndarray, first: np.ndarray, length: int) -> bool:
+    """Whether the runs of each name have the same bytes as the first of them."""
+    sizes = np.diff(np.append(first, len(order)))
+    many = np.repeat(sizes > 1, sizes)
+    this, that = order[many], np.repeat(order[first], sizes)[many]
+    if not len(this):
+        return True
+    if (runs.count[this] != runs.count[that]).any():
+        return False
+    long = runs.count[this] + length - 1
+    for at in range(0, int(long.max()), 8):
+        place = np.minimum(at, long - 8)  # the last eight bytes overlap
+        a, b = runs.start[this] + place, runs.start[that] + place
+        for k in range(8):
+            if (buffer[a + k] != buffer[b + k]).any():
+                return False
+    return True
+
+
+def _keys(buffer: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes at each place as strings that sort like them (but for trailing zeros, which tie)."""
+    if not len(at):
+        return np.zeros(0, dtype=f"S{size}")
+    return np.ascontiguousarray(buffer[at[:, None] + np.arange(size)]).view(f"S{size}").ravel()
+
+
 def multikey_groups(buffer: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Group number of the suffix at each place, equal where ``group`` and the first ``length`` bytes are.
 
@@ -251,16 +289,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     chunk_bytes = min(max(total // CHUNKS, CHUNK_BYTES[0]), CHUNK_BYTES[1])
     chunks, buckets = int(total // chunk_bytes + 1), int(total // BUCKET_BYTES + 8)
-    splitters = _splitters(docs, total, buckets, length, gram)
+    ranges = min(buckets, MAX_SPLITTERS)
+    parts_of_range = -(-buckets // ranges)
+    splitters = _splitters(docs, total, ranges, length, gram)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int"))
 
     def sketch(key: tuple, rows: pa.Table) -> pa.Table:
         chunk = Chunk(rows)
         runs = find_runs(chunk, length, gram)
         _, ids = _doc_ids(chunk, runs.start)
-        order, first = _grouped(runs.gram)
-        grams = runs.gram[order][first]
-        many = np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first) if len(first) else np.zeros(0, dtype=bool)
+        order, phrase = _grouped(runs.gram, runs.names[0])
+        grams, begin = np.unique(runs.gram[order][phrase], return_index=True)
+        first = phrase[begin]
+        many, size = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint8)
+        if len(first):
+            many = np.minimum.reduceat(ids[order], first) != np.maximum.reduceat(ids[order], first)
+            size = np.ceil(np.log2(np.add.reduceat(runs.count[order][phrase] + length - 1, begin))).astype(np.uint8)
         bucket = (grams >> np.uint64(32)) % np.uint64(buckets)
         by = np.argsort(bucket, kind="stable")
         parts = _cut(bucket[by])
@@ -269,6 +313,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()),
             "grams": _binary([grams[by[a:b]].astype(np.uint32) for _, a, b in parts]),
             "many": _binary([np.packbits(many[by[a:b]]) for _, a, b in parts]),
+            "size": _binary([size[by[a:b]] for _, a, b in parts]),
         })
 
     def shared(key: tuple, rows: pa.Table) -> pa.Table:
@@ -277,40 +322,54 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         every = np.concatenate(grams)
         order, first = _grouped(every)
         sizes = np.diff(np.append(first, len(order)))
-        hit = np.zeros(len(every), dtype=bool)
-        hit[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(many[order], first), sizes) if len(first) else False
+        hit, hot = np.zeros(len(every), dtype=bool), np.zeros(len(every), dtype=bool)
+        if len(first):
+            hit[order] = np.repeat((sizes > 1) | np.logical_or.reduceat(many[order], first), sizes)
+            held = np.exp2(_joined(rows.column("size"), "u1").astype(np.float64))
+            hot[order] = np.repeat(np.add.reduceat(held[order], first) > HOT_BYTES, sizes)
         ends = np.cumsum([len(g) for g in grams])
-        wanted = [g[hit[e - len(g) : e]] for g, e in zip(grams, ends)]
-        return pa.table({"bucket": rows.column("bucket"), "chunk": rows.column("chunk"), "grams": _binary(wanted)})
+        cuts = [(slice(e - len(g), e), g) for g, e in zip(grams, ends)]
+        return pa.table({"bucket": rows.column("bucket"), "chunk": rows.column("chunk"), "grams": _binary([g[hit[c]] for c, g in cuts]), "hot": _binary([hot[c][hit[c]] for c, _ in cuts])})
 
     def send(key: tuple, rows: pa.Table, wanted: pa.Table) -> pa.Table:
         chunk = Chunk(rows)
         runs = find_runs(chunk, length, gram)
-        number, order, first = _phrases(runs)
+        number, order, first = _phrases(chunk, runs, length)
         _, ids = _doc_ids(chunk, runs.start)
         low, high = (np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)) if len(first) else (ids, ids)
         one = order[first]  # a run that stands for its phrase
-        asked = [np.frombuffer(g, dtype=np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, g in zip(wanted.column("bucket").to_pylist(), wanted.column("grams").to_pylist())]
+        asked = np.concatenate([np.zeros(0, dtype=np.uint64), *(np.frombuffer(g, dtype=np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, g in zip(wanted.column("bucket").to_pylist(), wanted.column("grams").to_pylist()))])
+        hot = asked[_joined(wanted.column("hot"), "?")]
         own = runs.gram[one]
         own = own & np.uint64(0xFFFFFFFF) | (own >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)
-        phrase = np.flatnonzero(np.isin(own, np.concatenate(asked))) if asked else np.zeros(0, dtype=np.int64)
-        one = one[phrase]
-        to = np.searchsorted(splitters, runs.lead[one], side="right")
+        is_hot = np.isin(own, hot)
+        whole, cut = np.flatnonzero(np.isin(own, asked) & ~is_hot), np.flatnonzero(is_hot)
+        # Phrases of other anchors go whole, those of hot ones window by window.
+        windows = runs.count[one[cut]]
+        phrase = np.concatenate([whole, np.repeat(cut, windows)])
+        at = np.concatenate([np.zeros(len(whole), dtype=np.int64), np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)])
+        count = np.concatenate([runs.count[one[whole]], np.ones(windows.sum(), dtype=np.int64)])
+        start = runs.start[one[phrase]] + at
+        anchor = runs.anchor[one[phrase]]
+        raw = chunk.buffer
+        n, to = len(whole), np.zeros(len(phrase), dtype=np.int64)
+        to[:n] = np.searchsorted(splitters, _keys(raw, anchor[:n], gram), side="right") * parts_of_range + (runs.gram[one[whole]] % np.uint64(parts_of_range)).astype(np.int64)
+        to[n:] = (_window_hash(raw, start[n:], length) % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(to, kind="stable")
         parts = _cut(to[by])
-        raw = chunk.buffer
 
         def text(i: np.ndarray) -> np.ndarray:
-            sizes = runs.count[one[i]] + length - 1
+            sizes = count[i] + length - 1
             before = np.cumsum(sizes) - sizes
-            return raw[np.repeat(runs.start[one[i]] - before, sizes) + np.arange(sizes.sum())]
+            return raw[np.repeat(start[i] - before, sizes) + np.arange(sizes.sum())]
 
         return pa.table({
             "bucket": pa.array([k for k, _, _ in parts], pa.int32()),
             "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()),
             "phrase": _binary([phrase[by[a:b]].astype(np.uint32) for _, a, b in parts]),
-            "count": _binary([runs.count[one[by[a:b]]].astype(np.uint8) for _, a, b in parts]),
-            "anchor": _binary([(runs.anchor - runs.start)[one[by[a:b]]].astype(np.uint8) for _, a, b in parts]),
+            "at": _binary([at[by[a:b]].astype(np.uint8) for _, a, b in parts]),
+            "count": _binary([count[by[a:b]].astype(np.uint8) for _, a, b in parts]),
+            "anchor": _binary([(anchor - start)[by[a:b]].astype(np.uint8) for _, a, b in parts]),
             "low": _binary([low[phrase[by[a:b]]] for _, a, b in parts]),
             "high": _binary([high[phrase[by[a:b]]] for _, a, b in parts]),
             "text": _binary([text(by[a:b]) for _, a, b in parts]),
@@ -318,7 +377,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         phrase, count = _joined(rows.column("phrase"), "u4"), _joined(rows.column("count"), "u1").astype(np.int64)
-        anchor = _joined(rows.column("anchor"), "u1").astype(np.int64)
+        anchor, at = (_joined(rows.column(c), "u1").astype(np.int64) for c in ("anchor", "at"))
         low, high = _joined(rows.column("low"), "i8"), _joined(rows.column("high"), "i8")
         text = b"".join(rows.column("text").to_pylist())
         sender = np.repeat(rows.column("chunk").to_numpy(), [len(p) // 4 for p in rows.column("phrase").to_pylist()])
@@ -340,8 +399,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         return pa.table({
             "chunk": pa.array([k for k, _, _ in parts], pa.int32()),
             "phrase": _binary([phrase[row[a:b]] for _, a, b in parts]),
-            "from": _binary([found.first[stretch[a:b]].astype(np.uint8) for _, a, b in parts]),
-            "to": _binary([found.last[stretch[a:b]].astype(np.uint8) for _, a, b in parts]),
+            "from": _binary([(at[row[a:b]] + found.first[stretch[a:b]]).astype(np.uint8) for _, a, b in parts]),
+            "to": _binary([(at[row[a:b]] + found.last[stretch[a:b]]).astype(np.uint8) for _, a, b in parts]),
             "least": _binary([found.least[stretch[a:b]] for _, a, b in parts]),
         })
 
@@ -350,7 +409,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         edges = np.zeros(chunk.size + 1, dtype=np.int32)
         if told.num_rows:
             runs = find_runs(chunk, length, gram)
-            number, _, _ = _phrases(runs)
+            number, _, _ = _phrases(chunk, runs, length)
             _, ids = _doc_ids(chunk, runs.start)
             phrase = _joined(told.column("phrase"), "u4").astype(np.int64)
             by = np.argsort(phrase, kind="stable")
@@ -374,19 +433,38 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
         table = {"doc_id": chunk.rows, **{c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}, "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
         return pa.table(table | ({"kept": pa.array(out["kept"], pa.binary())} if keep_text else {}))
 
-    sketched = dealt.groupBy("chunk").applyInArrow(sketch, "bucket int, chunk int, grams binary, many binary")
-    wanted = sketched.groupBy("bucket").applyInArrow(shared, "bucket int, chunk int, grams binary")
-    sent = dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, phrase binary, count binary, anchor binary, low binary, high binary, text binary")
+    sketched = dealt.groupBy("chunk").applyInArrow(sketch, "bucket int, chunk int, grams binary, many binary, size binary")
+    wanted = sketched.groupBy("bucket").applyInArrow(shared, "bucket int, chunk int, grams binary, hot binary")
+    sent = dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(send, "bucket int, chunk int, phrase binary, at binary, count binary, anchor binary, low binary, high binary, text binary")
     told = sent.groupBy("bucket").applyInArrow(compare, "chunk int, phrase binary, `from` binary, `to` binary, least binary")
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(mark, schema)
 
 
-def _splitters(docs: DataFrame, total: int, buckets: int, length: int, gram: int) -> np.ndarray:
-    """Bounds between range buckets: quantiles of the leading bytes at the anchors of a bounded sample of documents."""
-    sample = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, 20_000).alias("text"), F.xxhash64(F.lit("sample"), "doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCS).drop("h")
-    leads = np.sort(find_runs(Chunk(sample.toArrow()), length, gram).lead)
-    return np.unique(leads[np.linspace(0, len(leads) - 1, buckets + 1)[1:-1].astype(int)]) if len(leads) else leads
+def _window_hash(buffer: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes at each place."""
+    h = np.zeros(len(start), dtype=np.uint64)
+    for k in range(length):
+        h = (h ^ buffer[start + k]) * M[k % 7]
+        h ^= h >> np.uint64(29)
+    return _mix(h)
+
+
+def _splitters(docs: DataFrame, total: int, ranges: int, length: int, gram: int) -> np.ndarray:
+    """Bounds between ranges: quantiles of the anchors in a sample of slices, drawn from all of every text, that grows with their number."""
+    slices = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / SLICE).cast("int"))).alias("slice"))
+    share = min(1.0, ranges * SAMPLED * (length - gram) / max(1, total))
+    drawn = slices.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "slice"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1)
+    cut = drawn.select("doc_id", F.substring("text", F.col("slice") * SLICE + 1, F.lit(SLICE)).alias("text"))
+
+    def anchors(batches):
+        for batch in batches:
+            chunk = Chunk(pa.Table.from_batches([batch]))
+            found = np.unique(_keys(chunk.buffer, find_runs(chunk, length, gram).anchor, gram))
+            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["anchors"])
+
+    every = np.sort(np.concatenate([np.zeros(0, dtype=f"S{gram}"), *(np.frombuffer(r["anchors"], dtype=f"S{gram}") for r in cut.mapInArrow(anchors, "anchors binary").toLocalIterator())]))
+    return np.unique(every[np.linspace(0, len(every) - 1, ranges + 1)[1:-1].astype(int)]) if len(every) else every
 
 
 #: The same result from every window of every text: slow, but plain SQL.
