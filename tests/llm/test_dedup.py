@@ -44,7 +44,9 @@ def test_exact(spark, docs_of):
 def test_exact_with_hot_texts(spark, docs_of):
     random.seed(1)
     rows = [(i, random.choice(["hot text", "hot  text", "hottext"]) if i % 2 else f"text {i % 70}") for i in range(900)] + [(7, "hottext"), (7, "hottext")]
-    check_exact(spark, docs_of, rows, hot_share=0.05, slices=7)
+    rows += [(5, None), (None, "hottext"), (None, "hot text")]
+    for share in (0.05, 0.3, None):
+        check_exact(spark, docs_of, rows, hot_share=share)
 
 
 def brute_fingerprint(text, width):

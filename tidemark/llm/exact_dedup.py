@@ -7,11 +7,12 @@ run stays. The text travels once.
 The leading bytes and a hash stand before the whole bytes in the sort key. They only order unequal texts cheaply and
 keep the sampled splitters small; equality is always decided by the whole bytes.
 
-A text that more than ``hot_share`` of all rows have would fill one range. Such texts, at most ``1 / hot_share`` of
-them, are found by a count of hashes that is combined before its shuffle; their rows carry a further slice number in
-the sort key, so that the splitters may fall inside the run. Each slice then yields one candidate, and the slices of a
-text (few, and of few texts) are compared in a second small sort; its results, bounded by ``1 / hot_share`` times the
-number of slices, are broadcast to the rows of hot texts.
+A text that fills more than half of an even share of the ranges (``hot_share`` of all rows, by default half of one
+part in the session's shuffle partitions) would hold up a range. Such texts, at most ``1 / hot_share`` of them, are
+found by a count of hashes that is combined before its shuffle; their rows carry a further slice number in the sort
+key, as many slices as the text has even shares, so that the splitters may fall inside the run. Each slice then yields
+one candidate, and the slices of a text are compared in a second small sort. Both the hot texts and their slices number
+at most a few times the ranges, whatever the table holds, and so are broadcast.
 
 Null texts count as empty and equal each other. Null ids sort after all others. Of repeated rows with one id and one
 text, exactly one is kept. Further columns are ignored; empty tables give no rows.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 #: The white space that normalisation deletes, [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 LEAD_BYTES = 48
-HOT_SHARE = 1 / 256
-SLICES = 512
+#: Rows that are never too many for one range.
+FEW_ROWS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -35,30 +36,33 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, slices: int = SLICES) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    marked = _marked(docs.select(id_col, text_col), id_col, text_col, hot_share, slices)
+    marked = _marked(docs.select(id_col, text_col), id_col, text_col, hot_share)
     return marked.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
-def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float = HOT_SHARE, slices: int = SLICES) -> DataFrame:
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: float | None = None) -> DataFrame:
     """The rows that stay, with all their columns."""
-    return _marked(docs, id_col, text_col, hot_share, slices).where("kept").select("row.*")
+    return _marked(docs, id_col, text_col, hot_share).where("kept").select("row.*")
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, hot_share: float, slices: int) -> DataFrame:
+def _marked(docs: DataFrame, id_col: str, text_col: str, hot_share: float | None) -> DataFrame:
     """Whole input rows as ``row``, with their id and what is known of their group."""
+    share = hot_share or 0.5 / int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].alias("id"))
     text = F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit(""))
     keys = rows.select("row", "id", normalised(text).alias("body")).select("row", "id", F.xxhash64("body").alias("hash"), F.substring("body", 1, LEAD_BYTES).alias("lead"))
 
     counts = keys.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     total = docs.agg(F.count(F.lit(1))).scalar()
-    hot = counts.where(F.col("n") > F.greatest(total * F.lit(hot_share), F.lit(64.0))).select("hash", F.lit(True).alias("hot"))
+    many = F.greatest(total * F.lit(share), F.lit(float(FEW_ROWS)))
+    hot = counts.select("hash", F.ceil(F.col("n") / many).cast("long").alias("slices")).where("slices > 1")
 
-    # Repeated rows with one id stay in one slice: the slice follows from the id.
+    # The slice follows from the row's own values (but the text, which all rows of a run share), whoever reads it.
+    own = [F.col("row").getField(c) for c in docs.columns if c != text_col]
     keys = keys.join(F.broadcast(hot), "hash", "left")
-    keys = keys.withColumn("slice", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(slices))).otherwise(F.lit(-1).cast("long"))).drop("hot")
+    keys = keys.withColumn("slice", F.when(F.col("slices").isNotNull(), F.pmod(F.xxhash64(*own), F.col("slices"))).otherwise(F.lit(-1).cast("long"))).drop("slices")
     rows = keys.repartitionByRange("lead", "hash", "slice").select("*", normalised(text).alias("body"), F.char_length(text).alias("points"))
 
     run = Window.partitionBy("lead", "hash", "slice", "body")
