@@ -130,11 +130,11 @@ def test_neighbours(spark):
     for i in range(700, 1000):
         held[i] = held[700]  # one common vector
     rows = [(i, v.tolist(), 0) for i, v in held.items()]
-    rows += [(2000, None, 0), (2020, [0.0] * 8, 0), (2040, [float("nan")] + [1.0] * 7, 0), (2060, [float("inf")] * 8, 0), (2080, [1.0, None] + [1.0] * 6, 0), (2100, [1.0] * 3, 0), (None, [1.0] * 8, 0), (3, held[3].tolist(), 1)]
+    rows += [(40, held[40].tolist(), 1), (2000, None, 0), (2020, [0.0] * 8, 0), (2040, [float("nan")] + [1.0] * 7, 0), (2060, [float("inf")] * 8, 0), (2080, [1.0, None] + [1.0] * 6, 0), (2100, [1.0] * 3, 0), (None, [1.0] * 8, 0), (3, held[3].tolist(), 1)]
     got = {}
     for r in ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    ids = np.array([*held, 3])
+    ids = np.array([*held, 3, 40])
     table = np.array([held[i] for i in ids], dtype=np.float64)
     hits = total = 0
     assert sorted(got) == [i for i in held if i % 20 == 0]
@@ -149,6 +149,33 @@ def test_neighbours(spark):
     assert hits >= 0.9 * total
 
 
+def test_clustered_vectors_need_few_leaves():
+    """Recall over 0.9 from less than a third of the leaves, at two sizes; lengths differ."""
+    for n in (4_000, 16_000):
+        rng = np.random.default_rng(8)
+        centres = rng.normal(size=(200, 16))
+        rows = (centres[rng.integers(200, size=n)] + 0.25 * rng.normal(size=(n, 16))) * rng.uniform(0.5, 1.5, size=(n, 1))
+        tree = ann.Tree(rows[: n // 2], 24)
+        leaf = tree.assign(rows)
+        found = 0
+        for q in range(0, n, n // 50):
+            score = rows @ rows[q]
+            score[q] = -np.inf
+            near = np.argsort(-score)[:20]
+            found += np.isin(leaf[near], tree.ranked(rows[q], tree.leaves // 4)).sum()
+        assert tree.leaves > 60 and found >= 0.9 * 20 * 50
+
+
+def test_visits_go_on_until_enough_rows_are_met(spark):
+    rng = np.random.default_rng(9)
+    tree = ann.Tree(rng.normal(size=(500, 4)), 5)
+    sizes = np.ones(tree.leaves, dtype=np.int64)
+    assert len(tree.ranked(np.ones(4), 2)) == 2 and len(tree.ranked(np.ones(4), 2, sizes, 21)) == 21
+    far = [(i, [100.0 + i, 0.0], 0) for i in range(3)] + [(20 + i, [0.0, 1.0 + 0.001 * i], 0) for i in range(300)]
+    got = ann.search(vectors(spark, far), F.col("vec_id") == 0, recall=0.01).groupBy("query_id").count().collect()
+    assert [(r["query_id"], r["count"]) for r in got] == [(0, 20)]
+
+
 def test_few_or_no_neighbours(spark):
     assert ann.search(vectors(spark, [(0, [1.0, 2.0], 0)]), F.col("vec_id") % 20 == 0).count() == 0
     got = ann.search(vectors(spark, [(0, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0)]), F.col("vec_id") % 20 == 0).collect()

@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample (``fit_rows`` in expectation, by a hash of the id); every row is indexed: it
-goes down to one leaf. A query walks the tree through a priority queue, always opening the node whose centre promises
-most, and so ranks the leaves. How many leaves it visits is calibrated: for a bounded set of queries the true
-neighbours are found by brute force over all rows, and visits widen until the share of them found reaches ``recall``.
-If a fixed number of visits cannot reach it, all leaves are visited.
+The tree is fitted on a sample that grows with the leaves, and these with the square root of the rows (``fit_rows`` at
+least, ``FIT_BYTES`` at most, in expectation, by a hash of the id); every row is indexed: it goes down to one leaf. A
+query walks the tree through a priority queue, always opening the node that promises most: the inner product with its
+centre and what the best of its members can be expected to add, by their spread and number. So leaves are ranked. How
+many a query visits is calibrated: for a bounded set of queries the true neighbours are found by brute force over all
+rows, and visits widen until the share of them found reaches ``recall``; a query whose leaves hold fewer than ``k``
+candidates goes on. If a fixed number of visits cannot reach the recall, all leaves are visited.
 
 Queries meet rows by leaf. Leaves that hold many rows, or that many queries visit, are cut into blocks on both sides,
-so a vector that a third of all rows share fills no task. Scores are inner products of the original vectors in double
-precision, summed in the order of the components, so equal vectors score alike and ties fall to the smaller id.
+so a vector that a third of all rows share fills no task. Each task keeps the ``k`` best of a query over all its
+blocks before the results are shuffled. Scores are inner products of the original vectors in double precision, summed
+in the order of the components, so equal vectors score alike and ties fall to the smaller id.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id, nor
 vectors of another dimension than most. Rows with the query's own id are not its candidates; other repeated rows are
@@ -26,18 +29,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIT_ROWS, CALIBRATION_QUERIES = 20_000, 200
+from tidemark.llm.common import checkpoint
+
+FIT_ROWS, FIT_BYTES, CALIBRATION_QUERIES = 20_000, 256 << 20, 300
 #: Children of a node, leaves aimed at (more for large tables: their number follows the square root of the rows), rows a leaf is fitted on at least.
 BRANCHING, LEAVES, ROOT_SHARE, MIN_LEAF_SAMPLE = 8, 32, 1 / 16, 24
 ROW_BLOCK, QUERY_BLOCK = 4096, 2048
-RECALL = 0.97
+#: What the trial queries must reach, so that all queries reach 0.9.
+RECALL = 0.94
 
 
 class Tree:
-    """Centres and children of each node; leaves are numbered from 0."""
+    """Centres, reach and children of each node; leaves are numbered from 0."""
 
     def __init__(self, sample: np.ndarray, leaf_sample: int, seed: int = 7):
         self.centres: list[np.ndarray] = []  # per inner node, the children's
+        self.reach: list[np.ndarray] = []  # what the best of a child's members adds to its centre, for a query of length 1
         self.children: list[list[int]] = []  # >= 0 an inner node, < 0 the leaf -1 - number
         self.leaves = 0
         self._rng = np.random.default_rng(seed)
@@ -53,6 +60,7 @@ class Tree:
             return -self.leaves
         node = len(self.centres)
         self.centres.append(centres)
+        self.reach.append(np.array([_reach(rows[label == c], centres[c]) for c in range(len(centres))]))
         self.children.append([])
         self.children[node] = [self._grow(rows[label == c], leaf_sample) for c in range(len(centres))]
         return node
@@ -80,19 +88,27 @@ class Tree:
                 todo += [(child, at[label == c]) for c, child in enumerate(self.children[node])]
         return out
 
-    def ranked(self, query: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves, best bin first."""
-        queue, found = [(0.0, self.root)], []
-        while queue and len(found) < visits:
+    def ranked(self, query: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``visits`` leaves, best bin first, and more until they hold ``least`` rows by their ``sizes``."""
+        queue, found, held = [(0.0, self.root)], [], 0
+        length = float(np.sqrt(query @ query))
+        while queue and (len(found) < visits or held < least):
             _, node = heapq.heappop(queue)
             if node < 0:
                 found.append(-1 - node)
+                held += int(sizes[-1 - node]) if sizes is not None else 0
             else:
-                for child, promise in zip(self.children[node], (self.centres[node] @ query).tolist()):
+                for child, promise in zip(self.children[node], (self.centres[node] @ query + length * self.reach[node]).tolist()):
                     heapq.heappush(queue, (-promise, child))
         return found
 
 
+def _reach(members: np.ndarray, centre: np.ndarray) -> float:
+    """The greatest of n normal values of the members' spread in one direction, about."""
+    spread = np.sqrt(((members - centre) ** 2).sum(axis=1).mean() / members.shape[1])
+    return float(spread * np.sqrt(2 * np.log(max(1, len(members)))))
+
+
 def nearest(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1)[None, :] - 2 * rows @ centres.T).argmin(axis=1)
 
@@ -153,16 +169,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     def drawn(of: DataFrame, salt: str, share: float) -> DataFrame:
         return of if share >= 1 else of.where(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1 << 40)) < int(share * (1 << 40)))
 
-    # Both samples are bounded by a parameter, whatever the table holds.
-    sample = drawn(rows, "fit", fit_rows / total).select("vector").limit(2 * fit_rows).toArrow()
+    # Both samples are bounded, whatever the table holds.
+    leaves = max(LEAVES, ROOT_SHARE * total**0.5)
+    fit = min(max(fit_rows, int(2 * MIN_LEAF_SAMPLE * leaves)), max(1, FIT_BYTES // (8 * dim)))
+    sample = drawn(rows, "fit", fit / total).select("vector").limit(2 * fit).toArrow()
     fitted = _vectors(sample.column("vector"), dim) if sample.num_rows else np.zeros((1, dim))
-    tree = spark.sparkContext.broadcast(Tree(fitted, max(MIN_LEAF_SAMPLE, int(1.5 * len(fitted) / max(LEAVES, ROOT_SHARE * total**0.5)))))
+    tree = spark.sparkContext.broadcast(Tree(fitted, max(MIN_LEAF_SAMPLE, int(1.5 * len(fitted) / leaves))))
 
-    queries = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
+    queries = rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector"), F.count(F.lit(1)).alias("own"))
     asked = queries.count()
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    trial = drawn(queries, "trial", CALIBRATION_QUERIES / asked).limit(2 * CALIBRATION_QUERIES).toArrow()
+    trial = drawn(queries, "trial", CALIBRATION_QUERIES / asked).select("id", "vector").limit(2 * CALIBRATION_QUERIES).toArrow()
     visits = _calibrated(rows, tree, trial, dim, k, recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +190,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tree.value.ranked(q, visits) for q in _vectors(batch.column(1), dim)]
+            found = [tree.value.ranked(q, visits, held, k + own) for q, own in zip(_vectors(batch.column(1), dim), batch.column(2).to_pylist())]
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64()), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["leaf", "id", "vector"])
 
     kind = vectors.schema[vector_col].dataType.simpleString()
     shape = f"leaf long, id long, vector {kind}"
-    indexed, visiting = rows.select("id", "vector").mapInArrow(index, shape), queries.mapInArrow(visit, shape)
+    indexed = checkpoint(rows.select("id", "vector").mapInArrow(index, shape))
+    held = np.zeros(tree.value.leaves, dtype=np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # a row for each leaf
+        held[r["leaf"]] = r["count"]
+    visiting = queries.mapInArrow(visit, shape)
 
     def blocks(of: DataFrame, size: int, name: str) -> DataFrame:
         return of.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / size).cast("long").alias(name))
