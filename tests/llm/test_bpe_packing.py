@@ -32,6 +32,18 @@ def test_same_ids_and_texts_as_the_library(vocabulary):
     check()
 
 
+def test_more_fragments_than_slots(vocabulary, monkeypatch):
+    """One text with more different fragments than the table has slots, and more bytes than the cache holds."""
+    monkeypatch.setattr(bpe, "SLOT_BITS", 6)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 5000)
+    library, codec = reference(vocabulary), bpe.ForcedBoundaryCodec(vocabulary)
+    text = " ".join(f"w{i}x {'y' * (i % 40)}{i}" for i in range(3000))
+    for _ in range(2):
+        assert list(codec.encode_batch([text.encode(), b"a b"])[0]) == library.encode(text, add_special_tokens=False).ids
+    codec.encode_batch([b"a b"])
+    assert len(codec._decimal) < 10  # started anew
+
+
 def test_decoding_keeps_broken_characters_like_the_library(vocabulary):
     library, codec = reference(vocabulary), bpe.codec(vocabulary)
     ids = library.encode("日本€").ids

@@ -38,8 +38,8 @@ WIDE_SPACE_ENDS = (
     (0x80, 0xAF),
     (0x81, 0x9F),
 )
-#: Fragments kept by a worker before it starts anew, slots of their table, and the longest fragment kept by its bytes.
-CACHE_ENTRIES, SLOT_BITS, SHORT = 400_000, 20, 23
+#: Fragments and bytes (theirs, their ids' and their decimals') kept by a worker before it starts anew, slots of their table at first, and the longest fragment kept by its bytes.
+CACHE_ENTRIES, CACHE_BYTES, SLOT_BITS, SHORT = 400_000, 64 << 20, 20, 23
 #: Masks that keep the first n bytes of a little-endian word; odd multipliers that spread keys over slots.
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -98,6 +98,7 @@ class ForcedBoundaryCodec:
         self._lengths = np.zeros(1024, dtype=np.int64)
         self._ids = np.zeros(4096, dtype=np.int32)
         self._used = 0
+        self._held = 0  # bytes
         self._slots = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
 
     def boundaries(self, buffer: np.ndarray) -> np.ndarray:
@@ -126,6 +127,7 @@ class ForcedBoundaryCodec:
             self._ids[self._used : self._used + n] = ids
             self._starts[k], self._lengths[k] = self._used, n
             self._used += n
+        self._held += sum(map(len, missing)) + 12 * (self._used - int(self._starts[first])) if missing else 0
         self._decimal += [None] * len(missing)
         return np.arange(first, first + len(missing))
 
@@ -143,6 +145,22 @@ class ForcedBoundaryCodec:
             slot[todo] = (slot[todo] + 1) & (len(self._slots) - 1)
         return found
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        """Where the search for each key starts."""
+        bits = len(self._slots).bit_length() - 1
+        return ((keys[0] * MIX[0] ^ keys[1] * MIX[1] ^ (keys[2] * MIX[2] >> np.uint64(7))) * MIX[0] >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _place(self, numbers: np.ndarray) -> None:
+        """Enter fragments by their keys; the table doubles before it is half full."""
+        if 2 * len(self._decimal) > len(self._slots):
+            known = self._slots[self._slots >= 0]
+            self._slots = np.full(1 << (2 * len(self._decimal)).bit_length(), -1, dtype=np.int32)
+            numbers = np.concatenate([known, numbers])
+        for number, s in zip(numbers.tolist(), self._slot(self._keys[:, numbers]).tolist()):
+            while self._slots[s] >= 0:
+                s = (s + 1) & (len(self._slots) - 1)
+            self._slots[s] = number
+
     def _fragments(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of each fragment of the batch, and where each document's fragments start (one more at the end)."""
         joined = b"".join(docs)
@@ -154,18 +172,16 @@ class ForcedBoundaryCodec:
         mark[self.boundaries(buffer[: len(joined)])] = True
         cuts = np.flatnonzero(mark)
         starts, sizes = cuts[:-1], np.diff(cuts)
-        if len(self._decimal) > self._cache_entries:
+        if len(self._decimal) > self._cache_entries or self._held > CACHE_BYTES:
             self._reset()
         # A short fragment's key is its own bytes and its length, so equal keys mean equal fragments.
         words = np.lib.stride_tricks.as_strided(buffer, (len(joined) + 1, 24), (1, 1))[starts].view(np.uint64).reshape(-1, 3).T
         held = np.minimum(sizes, SHORT)
         keys = np.stack([w & KEEP[np.clip(held - 8 * i, 0, 8)] for i, w in enumerate(words)])
         keys[2] |= held.astype(np.uint64) << np.uint64(56)
-        slot = ((keys[0] * MIX[0] ^ keys[1] * MIX[1] ^ (keys[2] * MIX[2] >> np.uint64(7))) * MIX[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         index = np.full(len(starts), -1, dtype=np.int64)
         short = np.flatnonzero(sizes <= SHORT)
-        at = slot[short]
-        index[short] = self._lookup(keys[:, short], at)
+        index[short] = self._lookup(keys[:, short], self._slot(keys[:, short]))
         unknown = short[index[short] < 0]
         if len(unknown):
             new: dict[bytes, int] = {}
@@ -175,10 +191,7 @@ class ForcedBoundaryCodec:
             index[unknown] = numbers[own]
             first = unknown[np.unique(own, return_index=True)[1]]
             self._keys[:, numbers] = keys[:, first]
-            for number, s in zip(numbers.tolist(), slot[first].tolist()):
-                while self._slots[s] >= 0:
-                    s = (s + 1) & (len(self._slots) - 1)
-                self._slots[s] = number
+            self._place(numbers)
         long = np.flatnonzero(sizes > SHORT)
         if len(long):
             pieces = [joined[a:b] for a, b in zip(starts[long].tolist(), cuts[long + 1].tolist())]
