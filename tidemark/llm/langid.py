@@ -4,11 +4,12 @@ Training counts n-grams per language on the executors, over a bounded sample of
 expectation, drawn by a hash of the id so that a re-run draws the same); the counts are summed by Spark and become one
 matrix of log-probabilities, languages x buckets, whose size is fixed by ``bits`` and the number of languages. That
 matrix is broadcast. A batch of texts is scored at once in numpy: n-gram buckets of all texts side by side, matrix
-columns gathered and summed per text, no loop over characters.
+columns gathered and summed per text, no loop over characters. Very long texts go in pieces, which bounds memory, and
+each text's sum is taken in its own order whatever stands beside it.
 
 Null texts and texts without a letter get ``und`` and score 0. Empty tables give no rows; with no labelled row at all
 every text gets ``und``. Ties go to the first language in order. Null ids are scored like others (and train, since the
-held-out test is then unknown, never). Neither id nor label nor source takes part in a prediction.
+held-out test is then unknown, never); so are repeated rows. Further columns are ignored. Neither id nor label nor source takes part in a prediction.
 """
 
 from __future__ import annotations
@@ -26,30 +27,52 @@ from tidemark.llm.common import text_slices
 ORDERS = (1, 2, 3)
 BITS = 15
 MAX_TRAIN_ROWS = 20_000
+#: Characters scored at once.
+PIECE = 1 << 18
 UNKNOWN = "und"
 #: Odd multipliers of the n-gram hash, one for each place in the n-gram.
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
-def _batch_grams(docs: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the buckets of all n-grams of the lower-cased texts side by side, and each text's first place (one more at the end)."""
-    lowered = [f" {t.lower()} " for t in docs]
-    points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(t) for t in lowered])])
+def _pieces(docs: list[str]) -> Iterator[list[tuple[int, str, int]]]:
+    """Groups of pieces of the lower-cased texts: whose it is, its characters with those that its last n-grams need, and how many n-grams start in it at most."""
+    group, held = [], 0
+    for i, t in enumerate(docs):
+        text = f" {t.lower()} "
+        for at in range(0, len(text), PIECE):
+            group.append((i, text[at : at + PIECE + ORDERS[-1] - 1], min(PIECE, len(text) - at)))
+            held += len(group[-1][1])
+            if held >= PIECE:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
+def _grams(group: list[tuple[int, str, int]], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order: the buckets of the n-grams of a group of pieces side by side, and where each piece's own start and end; what lies between is shared by two pieces and nobody's."""
+    points = np.frombuffer("".join(text for _, text, _ in group).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(text) for _, text, _ in group])
+    starts, own = np.cumsum(sizes) - sizes, np.array([n for _, _, n in group])
     places = [points * m for m in MULTIPLIERS]
     for n in ORDERS:
         mixed = np.full(max(0, len(points) - n + 1), n * 0x27D4EB2F & 0xFFFFFFFF, dtype=np.uint32)
         for k in range(n):
             mixed = (mixed ^ places[k][k : len(points) - n + 1 + k]) * MULTIPLIERS[0]
             mixed ^= mixed >> np.uint32(15)
-        yield (mixed >> np.uint32(32 - bits)).astype(np.int32), starts
+        yield (mixed >> np.uint32(32 - bits)).astype(np.int32), starts, starts + np.minimum(own, np.maximum(sizes - n + 1, 0))
 
 
-def _row_sums(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Sum of ``values`` over each text's own n-grams: those of order n that cross into the next text stay out."""
-    upto = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = np.maximum(starts[1:] - (n - 1), starts[:-1])
-    return upto[np.minimum(ends, len(values))] - upto[np.minimum(starts[:-1], len(values))]
+def _sums(columns: np.ndarray, buckets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of the buckets' columns over each piece."""
+    out = np.zeros((len(starts), columns.shape[1]))
+    full = np.flatnonzero(ends > starts)
+    if len(full):
+        values = np.concatenate([columns[buckets], np.zeros((1, columns.shape[1]), dtype=columns.dtype)])
+        edges = np.stack([starts[full], ends[full]], axis=1).ravel()
+        # Where one piece ends and the next starts at once, the part between them is a single value that is not taken.
+        out[full] = np.add.reduceat(values, edges, axis=0, dtype=np.float64)[::2]
+    return out
 
 
 class Model:
@@ -63,8 +86,9 @@ class Model:
         if known:
             own = [docs[i] for i in known]
             total = np.tile(self.priors, (len(own), 1))
-            for n, (buckets, starts) in zip(ORDERS, _batch_grams(own, self.bits)):
-                total += _row_sums(self.columns[buckets], starts, n)
+            for group in _pieces(own):
+                for found in _grams(group, self.bits):
+                    np.add.at(total, [i for i, _, _ in group], _sums(self.columns, *found))
             total -= total.max(axis=1, keepdims=True)
             odds = np.exp(total)
             scores[known] = 1 / odds.sum(axis=1)
@@ -95,8 +119,12 @@ def train(docs: DataFrame, bits: int = BITS, max_train_rows: int = MAX_TRAIN_ROW
                 own = [t for t, x in zip(docs, langs) if x == lang]
                 held.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
                 rows[lang] = rows.get(lang, 0) + len(own)
-                for buckets, _ in _batch_grams(own, bits):
-                    held[lang] += np.bincount(buckets, minlength=1 << bits)
+                for group in _pieces(own):
+                    for buckets, starts, ends in _grams(group, bits):
+                        edges = np.zeros(len(buckets) + 1, dtype=np.int32)
+                        np.add.at(edges, starts, 1)
+                        np.add.at(edges, ends, -1)
+                        held[lang] += np.bincount(buckets[np.cumsum(edges[:-1]) > 0], minlength=1 << bits)
         for lang, counts in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([rows[lang]], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["lang", "n", "counts"])
 
@@ -134,7 +162,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose text is in some learned language with at least ``min_score``."""
+    """The rows, with all their columns, whose text is in some learned language with at least ``min_score``.
+
+    With the least score of 0 these are all but null texts, texts without a letter and, if no row is labelled, all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
