@@ -30,6 +30,55 @@ def test_language(spark, docs_of):
     assert kept.columns == docs.columns and kept.count() == len(rows) + len(odd) - 3
 
 
+def plain_language(rows, bits=langid.BITS):
+    """Naive Bayes over the n-grams' buckets, one n-gram at a time."""
+
+    def buckets(text):
+        points = [ord(c) for c in f" {text.lower()} "]
+        for n in langid.ORDERS:
+            for at in range(len(points) - n + 1):
+                h = n * 0x27D4EB2F & 0xFFFFFFFF
+                for k in range(n):
+                    h = (h ^ points[at + k] * int(langid.MULTIPLIERS[k]) & 0xFFFFFFFF) * int(langid.MULTIPLIERS[0]) & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield h >> (32 - bits)
+
+    counts, numbers = {}, {}
+    for i, t, lang in rows:
+        if t is not None and lang is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            numbers[lang] = numbers.get(lang, 0) + 1
+            for b in buckets(t):
+                counts.setdefault(lang, {}).setdefault(b, 0)
+                counts[lang][b] += 1
+    seen = set().union(*counts.values())
+    # Buckets that no example has weigh a hundredth in the totals.
+    held = {x: sum(c.values()) + 0.5 * len(seen) + 0.005 * ((1 << bits) - len(seen)) for x, c in counts.items()}
+    out = []
+    for i, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            out.append((i, "und", 0.0))
+            continue
+        score = {x: np.log(numbers[x] / sum(numbers.values())) + sum(np.log((counts[x].get(b, 0) + 0.5) / held[x]) for b in buckets(t) if b in seen) for x in counts}
+        best = max(sorted(score), key=score.get)
+        out.append((i, best, 1 / sum(np.exp(s - score[best]) for s in score.values())))
+    return out
+
+
+def test_language_equals_a_plain_one(spark, docs_of, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, prose(lang := rng.choice(list(SYLLABLES)), rng.randint(1, 12), rng), lang) for i in range(60)]
+    rows += [(100, prose("aa", 6, rng) + prose("bb", 6, rng), None), (101, "\u0130\u00df \u65e5\u672c", "aa"), (102, "a", None), (103, None, "aa"), (104, "1 2", "bb"), (None, "ka ro", "cc")]
+    docs = docs_of(rows)
+    for piece in (5, 1 << 18):  # texts in pieces and whole
+        monkeypatch.setattr(langid, "PIECE", piece)
+        model = langid.train(docs)
+        labels, scores = model.predict([t for _, t, _ in rows])
+        for (_, lang, score), got, value in zip(plain_language(rows), labels, scores):
+            assert got == lang and abs(value - score) < 1e-4  # weights are single precision
+        alone = [model.predict([t])[1][0] for _, t, _ in rows]
+        assert alone == scores.tolist()  # neighbours change nothing
+
+
 def test_language_without_labels_or_rows(spark, docs_of):
     docs = docs_of([(1, "some text", None), (2, None, "aa")])
     model = langid.train(docs)
@@ -113,10 +162,11 @@ def test_shards(spark, docs_of):
 
 
 def test_write_shards(spark, docs_of, tmp_path):
-    docs = docs_of([(i, "x" * 50) for i in range(100)])
+    docs = docs_of([(i, "x" * 50) for i in range(100)] + [(7, "y" * 50), (7, "y" * 50), (None, "z"), (None, None)] + [(9, "w" * 100)] * 20)
     sharding.write_shards(docs, 500, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards"))
-    assert back.count() == 100 and back.groupBy("shard").agg(F.sum(F.length("text")).alias("n")).where("n > 500").count() == 0
+    assert sorted(map(str, back.drop("__shard").collect())) == sorted(map(str, docs.collect()))
+    assert back.groupBy("__shard").agg(F.sum(F.length("text")).alias("n")).where("n > 500").count() == 0
 
 
 def vectors(spark, rows):

@@ -48,7 +48,17 @@ def _with_depth(rows: DataFrame, depths: DataFrame, bits: int) -> DataFrame:
 
 def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text", round_bits: int = ROUND_BITS) -> DataFrame:
     """``doc_id, n_bytes, depth, shard``: every row with its shard, the shard's bits as text (``-`` for the whole)."""
-    rows = docs.select(docs[id_col].alias("id"), place(docs[id_col]).alias("hash"), F.coalesce(F.octet_length(docs[text_col]).cast("long"), F.lit(0).cast("long")).alias("bytes"))
+    out = _assigned(docs.select(docs[id_col].alias("id"), place(docs[id_col]).alias("hash"), _size(docs[text_col])), limit, round_bits)
+    return out.select(F.col("id").alias(id_col), F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), "shard")
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")).alias("bytes")
+
+
+def _assigned(rows: DataFrame, limit: int, round_bits: int = ROUND_BITS) -> DataFrame:
+    """``rows``, whose columns ``hash`` and ``bytes`` tell where they go, with ``depth`` and ``shard``."""
+    columns = rows.columns
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     low, high = 0, min(HASH_BITS, 3 + max(0, math.ceil(math.log2(max(1, total / limit)))))
     done, rest = [], rows
@@ -56,10 +66,10 @@ def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
         prefixed = rest.withColumn("prefix", F.shiftright("hash", HASH_BITS - high))
         depths = _depths(prefixed.groupBy("prefix").agg(F.sum("bytes").alias("bytes")), low, high, limit)
         found = _with_depth(prefixed, depths, high - low if not low else HASH_BITS)
-        done.append(found.where(F.col("depth") <= high).select("id", "hash", "bytes", "depth", F.lit("").alias("page")))
+        done.append(found.where(F.col("depth") <= high).select(*columns, "depth", F.lit("").alias("page")))
         if depths.where(F.col("depth") > high).isEmpty():
             break
-        rest = checkpoint(found.where(F.col("depth") > high).select("id", "hash", "bytes"))  # else the plan doubles each round
+        rest = checkpoint(found.where(F.col("depth") > high).select(*columns))  # else the plan doubles each round
         if high == HASH_BITS:
             done.append(_pages(rest, limit))
             break
@@ -69,7 +79,7 @@ def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str =
         out = out.unionAll(more)
     bits = F.lpad(F.bin(F.expr(f"shiftright(hash, {HASH_BITS} - depth)")), F.col("depth"), F.lit("0"))
     name = F.when(F.col("depth") == 0, F.lit("-")).otherwise(bits)
-    return out.select(F.col("id").alias(id_col), F.col("bytes").alias("n_bytes"), F.col("depth").cast("int").alias("depth"), F.concat(name, "page").alias("shard"))
+    return out.select(*columns, "depth", F.concat(name, "page").alias("shard"))
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
@@ -78,25 +88,27 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     large = F.col("bytes") > limit // 2
     upto = F.sum(F.when(large, F.lit(0).cast("long")).otherwise(F.col("bytes"))).over(Window.partitionBy("hash", "task").orderBy("row"))
     page = F.when(large, F.concat(F.lit("+"), "row")).otherwise(F.concat(F.lit("+"), "task", F.lit("."), F.floor(upto / F.lit(max(1, limit // 2)))))
-    return task.select("id", "hash", "bytes", F.lit(HASH_BITS).alias("depth"), page.alias("page"))
+    return task.select(*rows.columns, F.lit(HASH_BITS).alias("depth"), page.alias("page"))
 
 
 def write_shards(docs: DataFrame, limit: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write all columns of ``docs`` with one folder per shard; ids must be unique for the join back."""
-    shards = assign(docs, limit, id_col, text_col).select(F.col(id_col).alias("__id"), "shard")
-    joined = docs.join(shards, docs[id_col].eqNullSafe(shards["__id"])).drop("__id")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write all columns of ``docs`` with one folder per shard; rows of one id or none are rows like others."""
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"))
+    of = whole["whole"]
+    rows = whole.select("whole", place(of.getField(id_col)).alias("hash"), _size(of.getField(text_col)))
+    _assigned(rows, limit).select("whole.*", F.col("shard").alias("__shard")).repartition("__shard").write.partitionBy("__shard").parquet(path)
 
 
 def oracle(limit: int) -> str:
+    """In SQL, as far as bits can part rows: pages of one hash follow the reading tasks, so their names stay open here."""
     return f"""
 WITH d AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents
-), e AS (SELECT d.*, t.k AS depth, h >> (60 - t.k::INT) AS prefix FROM d, range(0, 31) AS t(k)),
+), e AS (SELECT d.*, t.k AS depth, h >> (60 - t.k::INT) AS prefix FROM d, range(0, 61) AS t(k)),
 s AS (SELECT depth, prefix FROM e GROUP BY ALL HAVING sum(n_bytes) <= {limit}),
-m AS (SELECT doc_id, n_bytes, h, min(depth)::INT AS depth FROM e JOIN s USING (depth, prefix) GROUP BY ALL)
-SELECT doc_id, n_bytes, depth,
-       CASE WHEN depth = 0 THEN '-' ELSE right(lpad(bin(h), 60, '0')[1:depth], depth) END AS shard
+m AS (SELECT doc_id, n_bytes, h, min(s.depth)::INT AS least FROM e LEFT JOIN s USING (depth, prefix) GROUP BY ALL)
+SELECT doc_id, n_bytes, coalesce(least, 60) AS depth,
+       CASE WHEN least = 0 THEN '-' WHEN least IS NULL THEN lpad(bin(h), 60, '0') || '+' ELSE lpad(bin(h), 60, '0')[1:least] END AS shard
 FROM m
 """
