@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows that are sent to every executor at most.
+FEW_ROWS = 500_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """``rows``, a checkpoint of narrow rows, for a join: broadcast where they are counted and few."""
+    return F.broadcast(rows) if rows.count() <= FEW_ROWS else rows
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text (one row at least), to bound working memory."""
     for batch in batches:

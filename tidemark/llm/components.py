@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint
+from tidemark.llm.common import checkpoint, small_side
 
 MAX_ROUNDS = 60
 
@@ -45,7 +45,7 @@ def one_of_each(docs: DataFrame, tagged: DataFrame, id_col: str, text_col: str)
 
     ``tagged(id, key, root)`` holds a row for every row of ``docs``; ``key`` is ``row_key`` of the text. The least id
     stays (null after all others), of several texts with it the one of the least key, of repeated rows any one. The
-    rows that go are told, so that adaptive execution can send them to the texts where they are few.
+    rows that go are told, and sent to the texts where they are few.
     """
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     counted = checkpoint(tagged.groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n")))
@@ -53,6 +53,7 @@ def one_of_each(docs: DataFrame, tagged: DataFrame, id_col: str, text_col: str)
     told = counted.join(best, "root").select(F.col("id").alias("__id"), F.col("key").alias("__key"), "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))).alias("stays"))
 
     def without(rows: DataFrame, kind: str) -> DataFrame:
+        rows = small_side(checkpoint(rows.select("__id", "__key")))
         return docs.join(rows, docs[id_col].eqNullSafe(rows["__id"]) & (row_key(docs[text_col]) == rows["__key"]), kind)
 
     if counted.where("n > 1").isEmpty():
