@@ -93,13 +93,26 @@ def test_unrouted_ranges_are_not_marked_and_empty_routed_ones_are(engine):
 
 def test_a_failure_leaves_nothing_covered_and_nothing_claimed(engine):
     read, engine.read_table = engine.read_table, None
+    assert isinstance(engine.warm(ask("1h", (0, 7200)))["a"], TypeError)
     with pytest.raises(TypeError):
-        engine.warm(ask("1h", (0, 7200)))
+        engine.query(ask("1h", (0, 7200)))
     assert engine.in_flight.snapshot() == {}
     engine.read_table = read
     assert answer(engine.query(ask("1h", (0, 7200)))) == direct(0, 7200)
 
 
+def test_the_log_is_rewritten_without_loss(engine, monkeypatch):
+    from tidemark.sources import store
+
+    monkeypatch.setattr(store, "LOG_FILES", 3)
+    tier = engine.first_level(TEMPERATURE)
+    for k in range(10):
+        tier.change_coverage([("a", HOUR, TimeRange(k * 3600, (k + 1) * 3600), True), ("b", HOUR, TimeRange(0, 36_000), True)])
+        tier.change_coverage([("b", HOUR, TimeRange(k * 3600, (k + 1) * 3600), False)])
+    assert tier.coverage(["a"]) == {("a", "1h"): [TimeRange(0, 36_000)]}
+    assert tier.coverage(["b"]) == {("b", "1h"): [TimeRange(0, 32_400)]} and len(tier._log_files()) <= 4
+
+
 def test_many_at_once(engine):
     sql = "SELECT '{\"meta_data\":\"specified_granularity\",\"specified_granularity\":\"1h\"}' AS meta_data, temperature FROM temperature WHERE sensor_id = 'a' AND ts >= 0 AND ts < 7200"
     errors = engine.warm_all([sql, sql, "SELECT 1"])
@@ -132,7 +145,7 @@ def test_planner():
 
 def test_coverage_against_sets(spark):
     sensors = spark.createDataFrame([("a",), ("b",)], "sensor_id string")
-    held = spark.createDataFrame([("a", "1h", b * 3600) for b in (0, 1, 4)], coverage.COLUMNS)
+    held = spark.createDataFrame([("a", "1h", b * 3600, (b + 1) * 3600) for b in (0, 1, 4)] + [("a", "1h", 0, 3600), ("a", "1d", 0, 86_400)], coverage.COLUMNS)
     wanted = TimeRange(1800, 6 * 3600 + 1)
 
     def found(df):

@@ -60,8 +60,19 @@ def test_stream_into_tier_equals_batch(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     t = tier(spark, tmp_path / "tiers")
-    into_tier(rollup_stream(stream, TEMPERATURE, DEFAULTS[2]), t, str(tmp_path / "cp")).awaitTermination()
-    assert sum(v for _, _, v in held(t)) == sum(range(200)) and len(held(t)) == 5
+    into_tier(rollup_stream(stream, TEMPERATURE, DEFAULTS[2]), t, str(tmp_path / "cp"), DEFAULTS[2]).awaitTermination()
+    assert sum(v for _, _, v in held(t)) == sum(range(200)) and len(held(t)) == 5 and t.coverage(["a"]) == {}
+
+
+def test_closed_windows_of_a_stream_are_covered(spark, tmp_path):
+    rows = spark.range(200).select(F.lit("a").alias("sensor_id"), F.timestamp_seconds(F.col("id") * 90).alias("ts"), F.col("id").cast("double").alias("temperature"))
+    rows.write.parquet(str(tmp_path / "in"))
+    t, stream = tier(spark, tmp_path / "tiers"), spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run closes what the first run's watermark allows, and repeats nothing
+        into_tier(rollup_stream(stream, TEMPERATURE, DEFAULTS[2]), t, str(tmp_path / "cp"), DEFAULTS[2], ["a", "b"], 0).awaitTermination()
+    last = max(at for _, at, _ in held(t))
+    assert t.coverage(["a"]) == {("a", "1h"): [TimeRange(0, int(last) + 3600)]} and t.coverage(["b"])["b", "1h"] == t.coverage(["a"])["a", "1h"]
+    assert len(held(t)) == last // 3600 + 1 < 5
 
 
 def test_following_the_log(spark, tmp_path):

@@ -24,21 +24,33 @@ def _finish(grouped: DataFrame, schema: Schema, granularity: Granularity) -> Dat
     return grouped.select("sensor_id", F.col("bucket.start").alias("ts"), *schema.rollup_columns, F.lit(granularity.id).alias("granularity_id"))
 
 
+def _extremes(counter: str, highest: str, lowest: str) -> list[Column]:
+    """A counter's last and first value by time."""
+    last, first = F.max_by(highest, "ts"), F.min_by(lowest, "ts")
+    return [last.alias(counter), (last - first).alias(f"slot_{counter}"), first.alias(f"first_{counter}"), last.alias(f"last_{counter}")]
+
+
 def from_source(readings: DataFrame, schema: Schema, granularity: Granularity, offset: int = 0, unique_ts: bool = True) -> DataFrame:
     """Roll readings up. Counters take the reading with the latest time; where times repeat within a sensor set
-    ``unique_ts=False`` and the greater counter wins (at the price of a sorting aggregate)."""
+    ``unique_ts=False`` and the greater counter of the last time wins, the lesser of the first. That takes two more,
+    narrow, aggregations of the counter alone (by time, then by bucket) instead of one that sorts whole readings."""
     aggs: list[Column] = []
     for g in schema.gauges:
         x = F.abs(g.name) if g.magnitude else F.col(g.name)
         aggs += [F.sum(x).alias(f"sum_{g.name}"), F.min(x).alias(f"min_{g.name}"), F.max(x).alias(f"max_{g.name}")]
         if g.non_zero_min:
             aggs.append(F.min(F.when(x > 0, x)).alias(f"non_zero_min_{g.name}"))
-    if schema.counter:
-        at = F.col("ts") if unique_ts else F.struct("ts", schema.counter)
-        last, first = F.max_by(schema.counter, at), F.min_by(schema.counter, at)
-        aggs += [last.alias(schema.counter), (last - first).alias(f"slot_{schema.counter}"), first.alias(f"first_{schema.counter}"), last.alias(f"last_{schema.counter}")]
     aggs.append(F.count(F.lit(1)).alias("count_agg_rows"))
-    return _finish(readings.groupBy("sensor_id", bucket(F.col("ts"), granularity, offset).alias("bucket")).agg(*aggs), schema, granularity)
+    window = bucket(F.col("ts"), granularity, offset).alias("bucket")
+    if not schema.counter or unique_ts:
+        counted = _extremes(schema.counter, schema.counter, schema.counter) if schema.counter else []
+        return _finish(readings.groupBy("sensor_id", window).agg(*aggs, *counted), schema, granularity)
+    by_time = readings.groupBy("sensor_id", window, "ts").agg(F.max(schema.counter).alias("highest"), F.min(schema.counter).alias("lowest"))
+    counted = by_time.groupBy("sensor_id", "bucket").agg(*_extremes(schema.counter, "highest", "lowest"))
+    # Both sides are dealt by the same keys already; sensors and buckets that are null are rows like others.
+    gauges = readings.groupBy("sensor_id", window).agg(*aggs)
+    met = gauges.join(counted.withColumnsRenamed({"sensor_id": "of_sensor", "bucket": "of_bucket"}), F.col("sensor_id").eqNullSafe(F.col("of_sensor")) & F.col("bucket").eqNullSafe(F.col("of_bucket")))
+    return _finish(met, schema, granularity)
 
 
 def from_rollup(rows: DataFrame, schema: Schema, granularity: Granularity, offset: int = 0, exact_slots: bool = False) -> DataFrame:

@@ -302,9 +302,10 @@ def spatial_then_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Coverage.
 
-_COVERED = f"SELECT DISTINCT event_type AS sensor_id, '1h' AS granularity_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS bucket FROM events WHERE user_id % 4 = 0"
-_WANTED = TimeRange(START + 1800, START + 20 * 86_400 + 1800)
-_GRID = f"SELECT s.sensor_id, g.bucket FROM (SELECT DISTINCT event_type AS sensor_id FROM events) s, generate_series({START}, {START + 20 * 86_400 - 3600}, 3600) AS g(bucket)"
+# Hours in which a user has an event, of all users: few enough for gaps everywhere.
+_COVERED = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS sensor_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS bucket FROM events"
+_WANTED = TimeRange(START + 1800, SPAN.end - 1800)
+_GRID = f"SELECT s.sensor_id, g.bucket FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS sensor_id FROM events) s, generate_series({START}, {SPAN.end - 7200}, 3600) AS g(bucket)"
 
 
 def _islands_sql(buckets: str) -> str:
@@ -312,10 +313,9 @@ def _islands_sql(buckets: str) -> str:
 
 
 def _covered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events = _raw(spark, sf_dir, "events")
     hour = (F.floor(F.col("ts").cast("timestamp").cast("double") / 3600) * 3600).cast("long")
-    rows = events.where("user_id % 4 = 0").select(F.col("event_type").alias("sensor_id"), F.lit("1h").alias("granularity_id"), hour.alias("bucket")).distinct()
-    return rows, events.select(F.col("event_type").alias("sensor_id")).distinct()
+    rows = _raw(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sensor_id"), hour.alias("bucket")).distinct()
+    return coverage.from_buckets(rows, HOUR), rows.select("sensor_id").distinct()
 
 
 @query(_islands_sql(f"{_GRID} EXCEPT SELECT sensor_id, bucket FROM ({_COVERED})"))
@@ -337,12 +337,20 @@ def coverage_mark_then_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.missing(coverage.mark(rows, sensors, HOUR, [_MARKED]), sensors, HOUR, _WANTED)
 
 
-@query(f"SELECT sensor_id, granularity_id, bucket FROM ({_COVERED}) WHERE bucket < {_MARKED.start} OR bucket >= {_MARKED.end}")
+@query(_islands_sql(f"SELECT * FROM ({_COVERED}) WHERE bucket < {_MARKED.start} OR bucket >= {_MARKED.end}"))
 def coverage_clear_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, sensors = _covered(spark, sf_dir)
     return coverage.clear(rows, sensors, HOUR, _MARKED)
 
 
+@query(f"SELECT s.sensor_id, EXISTS (SELECT 1 FROM ({_COVERED}) c WHERE c.sensor_id = s.sensor_id AND c.bucket >= {START} AND c.bucket < {START + 7200}) AS held FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS sensor_id FROM events) s")
+def coverage_any_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether anything of two hours is held, sensor by sensor."""
+    rows, sensors = _covered(spark, sf_dir)
+    held = coverage.present(rows, sensors, HOUR, TimeRange(START, START + 7200)).select("sensor_id", F.lit(True).alias("held")).distinct()
+    return sensors.join(held, "sensor_id", "left").select("sensor_id", F.coalesce("held", F.lit(False)).alias("held"))
+
+
 _ROUTES = [("a", "t1", 0, 7200), ("a", "t2", 7200, 14_400), ("b", "t3", 0, 100_000)]
 _ASKED = [("a", 0, 7200), ("a", 3600, 10_800), ("b", 99_000, 200_000), ("c", 0, 10)]
 
@@ -416,7 +424,7 @@ def intent_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tiers and the engine. The law of reading through is the oracle: whatever the tiers hold, the answer is the direct one.
 
 KINDS = ("click", "error", "purchase", "signup", "view")
-WINDOW = TimeRange(START, START + 21 * 86_400)
+WINDOW = SPAN
 _DIRECT = _readings_sql("events", "event_type", TEMPERATURE, EVENT_CLIMATE, f"epoch(ts) >= {WINDOW.start} AND epoch(ts) < {WINDOW.end}")
 
 
@@ -472,6 +480,27 @@ def cache_invalidate_refill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _published(engine.query(_ask(engine, "1h", WINDOW)), TEMPERATURE)
 
 
+_PER_SENSOR = f"SELECT * FROM ({_DIRECT}) WHERE sensor_id = 'click' AND epoch(ts) < {START + 3600}", f"SELECT * FROM ({_DIRECT}) WHERE sensor_id = 'view'"
+
+
+@query(" UNION ALL ".join(_published_sql(_source_sql(of, TEMPERATURE, g), TEMPERATURE) for of, g in zip(_PER_SENSOR, (MINUTE, DAY))))
+def engine_width_per_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An hour of one sensor and all days of another, no width named: each at its own."""
+    asked = intents.QueryIntent("temperature", {"view": [WINDOW], "click": [TimeRange(START, START + 3600)]}, intents.FROM_CACHE, None)
+    return _published(_engine(spark, sf_dir).query(asked), TEMPERATURE)
+
+
+@query(_published_sql(_source_sql(f"SELECT * FROM ({_DIRECT}) WHERE sensor_id <> 'click'", TEMPERATURE, DAY), TEMPERATURE))
+def engine_failure_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sensor's source cannot be read: the others are answered."""
+    engine = _engine(spark, sf_dir)
+    read, click = engine.read_table, engine.config.sensors["click"]
+    engine.config.tables["broken"] = Table("broken", "temperature", "broken")
+    engine.config.sensors["click"] = Sensor("click", "temperature", (Route("broken", SPAN),), click.second_level)
+    engine.read_table = lambda table: spark.read.parquet(f"{sf_dir}/no such table") if table == "broken" else read(table)
+    return _published(engine.query(_ask(engine, "1d", WINDOW)), TEMPERATURE)
+
+
 _GROUP_SECONDS = f"SELECT 'everything' AS sensor_id, make_timestamp((1000000 * floor(epoch(ts)))::BIGINT) AS ts, sum(temperature) AS temperature FROM ({_DIRECT}) GROUP BY 2"
 
 

@@ -91,31 +91,38 @@ class Engine:
         return intents.extract(self.spark, sql, known, self.config.origin, int(self.now()))
 
     def query(self, asked: str | QueryIntent) -> DataFrame:
-        """Rollup rows of the asked sensors and ranges at the resolved width; missing ones are filled first."""
+        """Rollup rows of the asked sensors and ranges, each sensor at its own resolved width; missing ones are filled
+        first. A sensor that cannot be filled is logged and gives what is stored; if none can, its error is raised."""
         wanted = self.parse(asked) if isinstance(asked, str) else asked
         of = schema(wanted.schema)
         if wanted.mode == intents.CLEAN:
             self.invalidate(wanted)
             return self.first_level(of).rows.read().drop("bucket_day").limit(0)
-        g = self.width(wanted)
-        self.warm(wanted)
+        failed = self.warm(wanted)
+        if failed and len(failed) == len(wanted.ranges):
+            raise next(iter(failed.values()))
         parts = defaultdict(list)
-        for sensor, ranges in wanted.ranges.items():
-            for r in self._whole(ranges, g):
-                parts[r].append(sensor)
+        for g, sensors in self.by_width(wanted).items():
+            for sensor, ranges in sensors.items():
+                for r in self._whole(ranges, g):
+                    parts[g, r].append(sensor)
         if not parts:
             return self.first_level(of).rows.read().drop("bucket_day").limit(0)
-        return reduce(lambda a, b: a.unionByName(b), [self.first_level(of).read(sensors, g, r) for r, sensors in sorted(parts.items())])
+        ordered = sorted(parts.items(), key=lambda p: (p[0][0].seconds, p[0][1]))
+        return reduce(lambda a, b: a.unionByName(b), [self.first_level(of).read(sensors, g, r) for (g, r), sensors in ordered])
 
     def view(self, asked: str | QueryIntent) -> DataFrame:
         """The serving view of a query's rows."""
         wanted = self.parse(asked) if isinstance(asked, str) else asked
         return rollup.serving_view(self.query(wanted), schema(wanted.schema))
 
-    def width(self, wanted: QueryIntent) -> Granularity:
-        ranges = next(iter(wanted.ranges.values()), [])
+    def by_width(self, wanted: QueryIntent) -> dict[Granularity, dict[str, list[TimeRange]]]:
+        """The asked sensors and ranges by width: the specified one, or each sensor's own by the length of its ranges."""
         specified = wanted.granularity if wanted.mode == intents.SPECIFIED else None
-        return widths.resolve(self.config.granularities, specified, ranges)
+        out: dict[Granularity, dict[str, list[TimeRange]]] = defaultdict(dict)
+        for sensor, ranges in wanted.ranges.items():
+            out[widths.resolve(self.config.granularities, specified, ranges)][sensor] = ranges
+        return out
 
     def _whole(self, ranges: list[TimeRange], g: Granularity) -> list[TimeRange]:
         """Whole buckets, the open one left out, inside the configured span."""
@@ -129,19 +136,38 @@ class Engine:
         gaps = {s: intervals.subtract(self._whole(ranges, g), held.get((s, g.id), [])) for s, ranges in sensors.items()}
         return {s: r for s, r in gaps.items() if r}
 
-    def warm(self, wanted: QueryIntent) -> None:
-        """Fill what the first level lacks. Sensors whose gaps have one shape are filled by one job."""
-        of, g = schema(wanted.schema), self.width(wanted)
-        gaps = self.missing(wanted.ranges, of, g)
-        claimed = {s: own for s, r in gaps.items() if (own := self.in_flight.claim(s, g.id, r))}
+    def warm(self, wanted: QueryIntent) -> dict[str, Exception]:
+        """Fill what the first level lacks; returns the sensors that could not be filled. Sensors whose gaps have one
+        shape are filled by one job; if filling fails, each job is tried alone, so that one that cannot be read does not
+        stop the others."""
+        of, failed = schema(wanted.schema), {}
+        for g, sensors in self.by_width(wanted).items():
+            gaps = self.missing(sensors, of, g)
+            claimed = {s: own for s, r in gaps.items() if (own := self.in_flight.claim(s, g.id, r))}
+            try:
+                if claimed and (still := self.missing(claimed, of, g)):  # another query may have filled some before the claim
+                    failed |= self._fill_apart(of, g, self._jobs(of, g, still))
+            finally:
+                for sensor, own in claimed.items():
+                    self.in_flight.release(sensor, g.id, own)
+            for sensor, ranges in gaps.items():
+                self.in_flight.wait(sensor, g.id, ranges)
+        return failed
+
+    def _fill_apart(self, of: Schema, g: Granularity, jobs: dict[Job, list[str]]) -> dict[str, Exception]:
         try:
-            if claimed and (still := self.missing(claimed, of, g)):  # another query may have filled some before the claim
-                self._fill(of, g, self._jobs(of, g, still))
-        finally:
-            for sensor, own in claimed.items():
-                self.in_flight.release(sensor, g.id, own)
-        for sensor, ranges in gaps.items():
-            self.in_flight.wait(sensor, g.id, ranges)
+            self._fill(of, g, jobs)
+            return {}
+        except Exception as e:
+            if sum(map(len, jobs.values())) == 1:
+                log.exception("fill of %s failed", next(iter(jobs.values())))
+                return {s: e for sensors in jobs.values() for s in sensors}
+        # Jobs first, then the sensors of a job that fails.
+        apart = [{job: sensors} for job, sensors in jobs.items()] if len(jobs) > 1 else [{job: [s]} for job, sensors in jobs.items() for s in sensors]
+        failed: dict[str, Exception] = {}
+        for part in apart:
+            failed |= self._fill_apart(of, g, part)
+        return failed
 
     def _jobs(self, of: Schema, g: Granularity, gaps: dict[str, list[TimeRange]]) -> dict[Job, list[str]]:
         tables = {r.table for s in gaps for r in self.config.sensors[s].second_level}
@@ -272,7 +298,8 @@ class Engine:
         def run(i: int, wanted: QueryIntent, pool: str) -> None:
             try:
                 with self.labelled(pool, f"warm {wanted.schema}"):
-                    self.invalidate(wanted) if wanted.mode == intents.CLEAN else self.warm(wanted)
+                    failed = self.invalidate(wanted) if wanted.mode == intents.CLEAN else self.warm(wanted)
+                    errors[i] = next(iter(failed.values()), None) if failed else None
             except Exception as e:
                 log.exception("query %d failed", i)
                 errors[i] = e
@@ -284,7 +311,7 @@ class Engine:
             except intents.IntentError as e:
                 errors[i] = e
                 continue
-            g = self.width(wanted)
+            g = max(self.by_width(wanted) or self.config.granularities, key=lambda g: g.seconds)
             slot, taken[g.id] = taken[g.id] % (slots or g.parallel_queries), taken[g.id] + 1
             threads.append(threading.Thread(target=inheritable_thread_target(self.spark)(lambda i=i, w=wanted, p=f"{g.id}-{slot}": run(i, w, p))))
             threads[-1].start()

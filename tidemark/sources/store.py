@@ -2,8 +2,9 @@
 
 A tier is partitioned by width and day, so a query reads only its own days of its own width. Writes are keyed: new
 rows replace stored rows of the same (sensor, width, bucket), whatever is written twice stays single. Files hold whole
-partitions, so a write first lays the merged partitions down beside the table and then overwrites just these.
-Coverage is a log of marks and clears, appended to and replayed.
+partitions, so a write lays the merged partitions down beside the table, once, and then swaps just these in by name.
+Coverage is a log of marks and clears, appended to and replayed; after so many small files the log is rewritten as the
+ranges it amounts to, without touching what others append meanwhile.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import time
 import uuid
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from tidemark.functions.schemas import Schema
 
 KEY = ["sensor_id", "granularity_id", "ts"]
 #: The coverage log: what was marked or cleared, and when.
+LOG_FILES = 64  # small files before the log is rewritten
 LOG = "sensor_id string, granularity_id string, start long, end long, covered boolean, at long"
 
 
@@ -48,23 +51,42 @@ class KeyedTable:
     def _touched(self, rows: DataFrame) -> DataFrame:
         return F.broadcast(rows.select(*self.partitions).distinct())  # days and widths of one write
 
-    def _replace(self, rows: DataFrame) -> None:
-        """Overwrite the partitions that ``rows`` (which may derive from this table) fall in."""
-        aside = f"{self.path}__aside_{uuid.uuid4().hex}"
-        writer = rows.repartition(*self.partitions).write.partitionBy(*self.partitions)
-        writer.parquet(aside)
-        self.spark.read.schema(self.ddl).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partitions).parquet(self.path)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(aside)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _swap(self, rows: DataFrame) -> None:
+        """Put ``rows`` (which may derive from this table) in place of the partitions that they fall in. The old files of
+        a partition are removed when the new ones stand, so a crash leaves one or the other, aside or in place."""
+        new, old = (f"{self.path}__{kind}_{uuid.uuid4().hex}" for kind in ("new", "old"))
+        rows.repartition(*self.partitions).write.partitionBy(*self.partitions).parquet(new)
+        fs, at = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path
+        depth = "/".join("*" for _ in self.partitions)
+        for status in fs.globStatus(at(f"{new}/{depth}")):
+            if not status.isDirectory():
+                continue
+            part = "/".join(status.getPath().toString().rsplit("/", len(self.partitions))[1:])
+            target, kept = at(f"{self.path}/{part}"), at(f"{old}/{part}")
+            if fs.exists(target):
+                fs.mkdirs(kept.getParent())
+                fs.rename(target, kept)
+            fs.mkdirs(target.getParent())
+            fs.rename(status.getPath(), target)
+        for path in (new, old):
+            fs.delete(at(path), True)
+        self.spark.catalog.refreshByPath(self.path)
 
     def upsert(self, rows: DataFrame) -> None:
         rows = rows.select(*(f.name for f in self.read().schema.fields))
-        kept = self.read()
-        if self._exists():
-            kept = kept.join(self._touched(rows), self.partitions, "left_semi").join(rows, self.key, "left_anti")
-            self._replace(rows.unionByName(kept))
-        else:
+        if not self._exists():
             rows.repartition(*self.partitions).write.mode("append").partitionBy(*self.partitions).parquet(self.path)
+            return
+        rows = rows.persist()  # read three times
+        try:
+            kept = self.read().join(self._touched(rows), self.partitions, "left_semi").join(rows, self.key, "left_anti")
+            self._swap(rows.unionByName(kept))
+        finally:
+            rows.unpersist()
 
     def delete(self, condition) -> None:
         """Rows that meet ``condition`` go; partitions left without rows are emptied too."""
@@ -77,15 +99,13 @@ class KeyedTable:
         kept = self.read().join(self._touched(hit), self.partitions, "left_semi").where(~condition)
         left = {tuple(r) for r in kept.select(*self.partitions).distinct().collect()}
         if left:
-            self._replace(kept)
+            self._swap(kept)
         for gone in set(touched) - left:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *(f"{p}={v}" for p, v in zip(self.partitions, gone))]))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *(f"{p}={v}" for p, v in zip(self.partitions, gone))])), True)
         self.spark.catalog.refreshByPath(self.path)
 
     def truncate(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
 
 
 class Tier:
@@ -113,25 +133,51 @@ class Tier:
 
     def coverage(self, sensors: list[str]) -> dict[tuple[str, str], list[TimeRange]]:
         """Covered ranges by (sensor, width): the changes of these sensors, replayed in their order."""
+        rows = self._replayed(self._changes().where(F.col("sensor_id").isin(sensors))).collect()  # ranges of the asked sensors
         held: dict[tuple[str, str], list[TimeRange]] = {}
-        for r in sorted(self._changes().where(F.col("sensor_id").isin(sensors)).collect(), key=lambda r: (r["at"], not r["covered"])):
-            key, during = (r["sensor_id"], r["granularity_id"]), [TimeRange(r["start"], r["end"])]
-            now = held.get(key, [])
-            held[key] = intervals.merge(now + during) if r["covered"] else intervals.subtract(now, during)
+        for r in sorted(rows, key=lambda r: r["start"]):
+            held.setdefault((r["sensor_id"], r["granularity_id"]), []).append(TimeRange(r["start"], r["end"]))
         return held
 
+    @staticmethod
+    def _replayed(changes: DataFrame) -> DataFrame:
+        """The log's rows that remain, as marks: the ranges each sensor's changes amount to, replayed on the executors."""
+
+        def replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            now: list[TimeRange] = []
+            for r in rows.sort_values(["at", "covered"]).itertuples():
+                during = [TimeRange(int(r.start), int(r.end))]
+                now = intervals.merge(now + during) if r.covered else intervals.subtract(now, during)
+            return pd.DataFrame({"sensor_id": key[0], "granularity_id": key[1], "start": [r.start for r in now], "end": [r.end for r in now], "covered": True, "at": int(rows["at"].max())})
+
+        return changes.groupBy("sensor_id", "granularity_id").applyInPandas(replay, LOG)
+
     def change_coverage(self, changes: Iterable[tuple[str, Granularity, TimeRange, bool]]) -> None:
         """Append marks (True) and clears (False); one small write, whatever their number."""
         at = time.time_ns()
         rows = [(s, g.id, r.start, r.end, covered, at) for s, g, r, covered in changes]
         if rows:
             self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(self.log)
+            if len(self._log_files()) > LOG_FILES:
+                self.compact_coverage()
+
+    def _log_files(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.log)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().toString() for f in fs.listStatus(path) if f.getPath().getName().endswith(".parquet")] if fs.exists(path) else []
 
     def compact_coverage(self) -> None:
-        """Rewrite the log as the ranges it amounts to."""
-        sensors = [r[0] for r in self._changes().select("sensor_id").distinct().collect()]
-        rows = [(s, g, r.start, r.end, True, 0) for (s, g), ranges in self.coverage(sensors).items() for r in ranges]
-        self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("overwrite").parquet(self.log)
+        """Rewrite the log's present files as the ranges they amount to, in one file added beside them; then they go.
+        Files that others add meanwhile are neither read nor removed."""
+        files = self._log_files()
+        if not files:
+            return
+        self._replayed(self.spark.read.schema(LOG).parquet(*files)).coalesce(1).write.mode("append").parquet(self.log)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.log).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for f in files:
+            fs.delete(path(f), False)
+        self.spark.catalog.refreshByPath(self.log)
 
     def delete(self, sensors: list[str], granularity: Granularity, gone: TimeRange) -> None:
         lo, hi = F.timestamp_seconds(F.lit(gone.start)), F.timestamp_seconds(F.lit(gone.end))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.granularity import Granularity
+from tidemark.functions.intervals import TimeRange, ceil_to
 from tidemark.functions.schemas import Schema
 from tidemark.operators.rollup import from_source
 from tidemark.sources.store import Tier
@@ -19,10 +20,24 @@ def rollup_stream(readings: DataFrame, schema: Schema, granularity: Granularity,
     return from_source(readings.withWatermark("ts", lateness), schema, granularity, unique_ts=unique_ts)
 
 
-def into_tier(rolled: DataFrame, tier: Tier, checkpoint: str) -> StreamingQuery:
-    """Keyed upserts batch by batch: a batch that is run again replaces its own rows."""
-    writer = rolled.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    return writer.foreachBatch(lambda batch, _: tier.write(batch)).start()
+def into_tier(rolled: DataFrame, tier: Tier, checkpoint: str, granularity: Granularity, sensors: Sequence[str] = (), since: int | None = None) -> StreamingQuery:
+    """Keyed upserts batch by batch: a batch that is run again replaces its own rows.
+
+    Without ``since`` every change is written and nothing is marked as covered, since late readings may still come. With
+    it only windows that the watermark has closed are written, and from ``since`` up to the last of them the tier is
+    marked as covered for ``sensors``, so the engine reads what the stream has stored and never the source again.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        tier.write(batch)
+        if since is None:
+            return
+        end = batch.agg(F.max(F.unix_timestamp("ts"))).first()[0]
+        if end is not None:
+            tier.change_coverage((s, granularity, TimeRange(ceil_to(since, granularity.seconds), end + granularity.seconds), True) for s in sensors)
+
+    writer = rolled.writeStream.outputMode("update" if since is None else "append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return writer.foreachBatch(write).start()
 
 
 def follow_log(log: DataFrame, handle: Callable[[list[str]], object], checkpoint: str) -> StreamingQuery:
