@@ -59,8 +59,9 @@ def one_of_each(docs: DataFrame, tagged: DataFrame, id_col: str, text_col: str)
     if counted.where("n > 1").isEmpty():
         return without(told.where("not stays"), "left_anti")
     # Rows that agree in id and text: any one of them.
-    repeated = without(told.where("stays and n > 1"), "left_semi").withColumn("__text", row_key(F.col(text_col)))
-    return without(told.where("not stays or n > 1"), "left_anti").unionByName(repeated.dropDuplicates([id_col, "__text"]).drop("__text"))
+    often = without(told.where("stays and n > 1"), "left_semi")
+    one = often.groupBy(often[id_col], row_key(often[text_col])).agg(F.first(F.struct(*(often[c] for c in docs.columns))).alias("one"))
+    return without(told.where("not stays or n > 1"), "left_anti").unionAll(one.select("one.*"))
 
 
 def row_key(text: Column) -> Column:
