@@ -28,6 +28,8 @@ from tidemark.llm.common import checkpoint, text_slices, texts
 
 OPEN_BINS = 512
 TASKS_JOINED = 8
+#: Bytes of text encoded at once.
+SLICE = 1 << 19
 #: Set in the numbers of sequences that hold what several tasks had open.
 JOINED = 1 << 62
 
@@ -102,7 +104,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, open
             columns = list(zip(*pieces)) or [()] * 8
             return pa.RecordBatch.from_arrays([pa.array([task] * n, pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, schema)), pa.array([still_open] * n, pa.bool_())], names=["task", *schema.names, "open"])
 
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             schema = schema or pa.schema([("doc_id", batch.schema.field(0).type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.list_(pa.int32())), *((c, pa.int64()) for c in ("ids_crc32", "bin", "offset"))])
             done: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode_batch(texts(batch))):
