@@ -52,7 +52,7 @@ def missing(coverage: DataFrame, sensors: DataFrame, granularity: Granularity, w
     r = align_in(wanted, granularity.seconds, offset)
     if not r:
         return empty(sensors.sparkSession)
-    # A range of no length at each end, which the one-past-the-end trick below turns into a first and a last gap.
+    # A range of no length at each end bounds the first gap and the last.
     ends = sensors.select("sensor_id").distinct().select("sensor_id", F.lit(granularity.id).alias("granularity_id"), F.explode(F.array(F.lit(r.start).cast("long"), F.lit(r.end).cast("long"))).alias("start"))
     all_ranges = _within(coverage, sensors, granularity, r).unionByName(ends.withColumn("end", F.col("start")))
     earlier = Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,6 @@ hold zeros. Sums are rounded to four places on both sides, since the two engines
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,7 @@ from tidemark.plans.planner import SECOND_LEVEL
 from tidemark.sources import query_log, store
 from tidemark.sources.config import Config, Route, Sensor, SensorGroup, Table
 from tidemark.sources.readings import canonical, in_range, rename_vendor
+from tidemark.sources.shared import shared_folder
 from tidemark.streaming.rollup import rollup_stream
 
 QUERIES = {}
@@ -429,7 +429,7 @@ _DIRECT = _readings_sql("events", "event_type", TEMPERATURE, EVENT_CLIMATE, f"ep
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> engines.Engine:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
+    base = shared_folder(spark)
     source, split = Route("readings", SPAN), START + 10 * 86_400
     second = (Route("sl_a", TimeRange(SPAN.start, split)), Route("sl_b", TimeRange(split, SPAN.end)))
     names = [r[0] for r in _raw(spark, sf_dir, "events").select("event_type").distinct().collect()]  # event types, a handful
