@@ -55,6 +55,25 @@ def test_writes_are_keyed_and_keep_other_rows_of_the_day(spark, tmp_path):
     assert held(t) == []
 
 
+def test_one_writer_at_a_time(spark, tmp_path, monkeypatch):
+    import threading
+
+    # Two stores of one path, as two processes have them; each keeps the other's rows of the same day.
+    first, second = tier(spark, tmp_path), tier(spark, tmp_path)
+    first.write(rollups(spark, [("z", 0, 0.0)]))
+    writers = [threading.Thread(target=t.write, args=(rollups(spark, [(name, 3600 * k, 1.0)]),)) for k, (t, name) in enumerate([(first, "a"), (second, "b"), (first, "c"), (second, "d")])]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert [s for s, _, _ in held(first)] == ["a", "b", "c", "d", "z"]
+    # A lock that a crash left is broken in time.
+    monkeypatch.setattr(store, "LOCK_SECONDS", 0)
+    (tmp_path / "t" / TEMPERATURE.name / "rows__lock").touch()
+    second.delete(["a"], DEFAULTS[2], TimeRange(0, 90_000))
+    assert [s for s, _, _ in held(first)] == ["b", "c", "d", "z"]
+
+
 def test_stream_into_tier_equals_batch(spark, tmp_path):
     rows = spark.range(200).select(F.lit("a").alias("sensor_id"), F.timestamp_seconds(F.col("id") * 90).alias("ts"), F.col("id").cast("double").alias("temperature"))
     rows.write.parquet(str(tmp_path / "in"))

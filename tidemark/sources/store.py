@@ -12,10 +12,13 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions import intervals
 from tidemark.functions.granularity import Granularity
@@ -24,6 +27,7 @@ from tidemark.functions.schemas import Schema
 
 KEY = ["sensor_id", "granularity_id", "ts"]
 #: The coverage log: what was marked or cleared, and when.
+LOCK_SECONDS = 3600
 LOG_FILES = 64  # small files before the log is rewritten
 LOG = "sensor_id string, granularity_id string, start long, end long, covered boolean, at long"
 
@@ -55,6 +59,29 @@ class KeyedTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    @contextmanager
+    def _locked(self):
+        """One writer at a time, whichever process it is in: a lock file beside the table. One that a crash has left is
+        broken after ``LOCK_SECONDS``."""
+        at, fs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}__lock"), self._fs()
+
+        def mine() -> bool:
+            try:
+                return fs.createNewFile(at)
+            except Py4JJavaError as e:  # another was first
+                if "AlreadyExists" in e.java_exception.getClass().getName():
+                    return False
+                raise
+
+        while not mine():
+            if fs.exists(at) and time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > LOCK_SECONDS:
+                fs.delete(at, False)
+            time.sleep(0.1)
+        try:
+            yield
+        finally:
+            fs.delete(at, False)
+
     def _swap(self, rows: DataFrame) -> None:
         """Put ``rows`` (which may derive from this table) in place of the partitions that they fall in. The old files of
         a partition are removed when the new ones stand, so a crash leaves one or the other, aside or in place."""
@@ -77,21 +104,27 @@ class KeyedTable:
         self.spark.catalog.refreshByPath(self.path)
 
     def upsert(self, rows: DataFrame) -> None:
-        rows = rows.select(*(f.name for f in self.read().schema.fields))
+        rows = rows.select(*StructType.fromDDL(self.ddl).names).persist()  # read three times
+        try:
+            with self._locked():
+                self._merge(rows)
+        finally:
+            rows.unpersist()
+
+    def _merge(self, rows: DataFrame) -> None:
         if not self._exists():
             rows.repartition(*self.partitions).write.mode("append").partitionBy(*self.partitions).parquet(self.path)
-            return
-        rows = rows.persist()  # read three times
-        try:
+        else:
             kept = self.read().join(self._touched(rows), self.partitions, "left_semi").join(rows, self.key, "left_anti")
             self._swap(rows.unionByName(kept))
-        finally:
-            rows.unpersist()
 
     def delete(self, condition) -> None:
         """Rows that meet ``condition`` go; partitions left without rows are emptied too."""
-        if not self._exists():
-            return
+        with self._locked():
+            if self._exists():
+                self._drop(condition)
+
+    def _drop(self, condition) -> None:
         hit = self.read().where(condition)
         touched = [tuple(r) for r in hit.select(*self.partitions).distinct().collect()]  # partitions, not rows
         if not touched:
