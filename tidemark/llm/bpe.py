@@ -17,6 +17,7 @@ columns do not matter, and nothing is shuffled.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ WIDE_SPACE_ENDS = (
     (0x81, 0x9F),
 )
 #: Fragments and bytes (theirs, their ids' and their decimals') kept by a worker before it starts anew, slots of their table at first, and the longest fragment kept by its bytes.
-CACHE_ENTRIES, CACHE_BYTES, SLOT_BITS, SHORT = 400_000, 32 << 20, 20, 23
+CACHE_ENTRIES, CACHE_BYTES, SLOT_BITS, SHORT = 300_000, 32 << 20, 19, 23
 #: Masks that keep the first n bytes of a little-endian word; odd multipliers that spread keys over slots.
 KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -254,6 +255,8 @@ _CODECS: dict[str, ForcedBoundaryCodec] = {}
 def codec(path: str) -> ForcedBoundaryCodec:
     """One codec per worker and vocabulary, so that its fragments are kept from batch to batch and task to task."""
     if path not in _CODECS:
+        # Every core has a worker already; threads in each would cost memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _CODECS[path] = ForcedBoundaryCodec(path)
     return _CODECS[path]
 

@@ -29,7 +29,7 @@ from tidemark.llm.common import checkpoint, text_slices, texts
 OPEN_BINS = 512
 TASKS_JOINED = 8
 #: Bytes of text encoded at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 #: Set in the numbers of sequences that hold what several tasks had open.
 JOINED = 1 << 62
 
