@@ -6,6 +6,8 @@ Fingerprints need one pass over the text. Everything after it works on distinct
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +77,8 @@ def _signed(word: int) -> int:
     return word - (1 << 64) if word >> 63 else word
 
 
-def _at(slab: int, cell: Column) -> Column:
-    return F.struct(F.lit(slab).alias("slab"), cell.alias("cell"))
+def _at(slab: int, cell: Column, move: int) -> Column:
+    return F.struct(F.lit(slab).alias("slab"), cell.alias("cell"), F.lit(move).alias("move"))
 
 
 def _moved(cell: Column, segment: int, up: bool) -> Column:
@@ -89,42 +91,90 @@ def _moved(cell: Column, segment: int, up: bool) -> Column:
 
 
 def _stands(own: DataFrame, slabs: list[list[int]], moves: tuple[bool, ...]) -> DataFrame:
-    """``fp, slab, cell``: each fingerprint in the cell of every slab, and in those one of ``moves`` away."""
+    """``slab, cell, move`` and what ``own`` has: each fingerprint in the cell of every slab (move 0), and in those one of ``moves`` away."""
     cells = []
     for k, segments in enumerate(slabs):
         cell = F.col("counts").bitwiseAND(F.lit(_signed(sum(3 << (2 * s) for s in segments))))
-        cells += [_at(k, c) for c in (cell, *(_moved(cell, s, up) for up in moves for s in segments))]
-    return own.select("fp", F.explode(F.array(*cells)).alias("c")).where(F.col("c.cell").isNotNull()).select("fp", F.col("c.slab").alias("slab"), F.col("c.cell").alias("cell"))
+        cells += [_at(k, c, move) for move, c in enumerate((cell, *(_moved(cell, s, up) for up in moves for s in segments)))]
+    kept = [c for c in own.columns if c != "counts"]
+    return own.select(*kept, F.explode(F.array(*cells)).alias("c")).where(F.col("c.cell").isNotNull()).select(*kept, "c.slab", "c.cell", "c.move")
+
+
+def _counted(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("counts", _counts(F.col("fp")))
+
+
+def _near(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
 def links(distinct: DataFrame, distance: int, radius: int = 2) -> DataFrame:
     """``u, v`` (u > v): pairs of the distinct fingerprints ``fp`` that differ in at most ``distance`` bits.
 
+    Where ``distinct`` has a column ``root`` too, only the pairs of different roots.
+
     Bits that differ change the segment counts by no more than their number, so the counts' Manhattan distance is a
     lower bound. Of the slabs the segments are dealt into, one at least is within ``radius`` (0 to 2); a slab's counts
     are a grid cell. For radius 0 fingerprints meet in their own cell. For radius 1 one side also stands in the cells
     one step up, since of a pair one step apart one is below. For radius 2 both sides stand in the cells one step up
     or down: of a pair two steps apart, some cell is one step from each. Wider slabs hold more bits, so they give
     fewer candidates for more cells. Candidates meet by an equi-join on the cell, and the exact bit difference is
-    tested inside the join.
+    tested inside the join. Of the cells that a pair shares in a slab only these count: the own one of both, the own
+    one of the greater, or those between the two.
+
+    The join is always a merge join: the optimiser takes a side for as small as the fingerprints it was made from, and
+    would send all their cells to the driver and every executor.
     """
     if radius not in (0, 1, 2):
         raise ValueError("radius must be 0, 1 or 2")
     slabs = _slabs(distance, radius)
-    own = distinct.select("fp", _counts(F.col("fp")).alias("counts"))
-    left = _stands(own, slabs, ((), (True,), (True, False))[radius]).withColumnRenamed("fp", "u")
-    right = (left if radius == 2 else _stands(own, slabs, ())).toDF("v", "slab_v", "cell_v")
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    order = F.col("u") != F.col("v") if radius == 1 else F.col("u") > F.col("v")
-    met = left.join(right, (F.col("slab") == F.col("slab_v")) & (F.col("cell") == F.col("cell_v")) & order & near)
-    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    own = _counted(distinct)
+    left = _stands(own, slabs, ((), (True,), (True, False))[radius])
+    right = left if radius == 2 else _stands(own, slabs, ())
+    a, b = (side.select(*(F.col(c).alias(f"{c}_{at}") for c in side.columns)) for side, at in ((left, "u"), (right, "v")))
+    greater, moved_u, moved_v = F.col("fp_u") > F.col("fp_v"), F.col("move_u") > 0, F.col("move_v") > 0
+    once = {
+        0: greater,
+        1: (F.col("fp_u") != F.col("fp_v")) & (moved_u | greater),
+        2: greater & (~moved_u | (moved_v & (F.col("move_u") != F.col("move_v")))),
+    }[radius]
+    apart = [F.col("root_u") != F.col("root_v")] if "root" in distinct.columns else []
+    met = a.hint("merge").join(b, reduce(and_, [F.col("slab_u") == F.col("slab_v"), F.col("cell_u") == F.col("cell_v"), *apart, once, _near("fp_u", "fp_v", distance)]))
+    return met.select(F.greatest("fp_u", "fp_v").alias("u"), F.least("fp_u", "fp_v").alias("v")).distinct()
+
+
+def _placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes(fp)`` with the ``root`` of the group that each is in."""
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _pair(other: str) -> list[Column]:
+    return [F.greatest("fp", other).alias("u"), F.least("fp", other).alias("v")]
+
+
+def linked(nodes: DataFrame, distance: int) -> DataFrame:
+    """``node, root`` (as ``components`` has them) of the distinct fingerprints ``nodes(fp, n)`` that links connect.
+
+    Large groups are joined before their pairs are formed. In each cell of a slab all first ask the fingerprint of
+    most rows ``n``; then all in the cells around ask the one of most rows in each group so made. At last only pairs
+    of different groups meet, so a group of near copies costs about its size and not its square, and no link is lost.
+    """
+    slabs, nodes = _slabs(distance, 2), checkpoint(nodes.select("fp", "n"))
+    own = _stands(_counted(nodes), slabs, ()).drop("move")
+    hubs = own.groupBy("slab", "cell").agg(F.max_by("fp", "n").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
+    roots = components(own.drop("n").hint("merge").join(hubs, ["slab", "cell"]).where((F.col("fp") != F.col("hub")) & _near("fp", "hub", distance)).select(*_pair("hub")))
+    heads = _placed(nodes, roots).groupBy("root").agg(F.max_by("fp", "n").alias("fp"), F.count(F.lit(1)).alias("held")).where("held > 1").select("fp", "root")
+    around = _stands(_counted(heads), slabs, (True, False)).select(F.col("fp").alias("head"), F.col("root").alias("asked"), "slab", "cell")
+    standing = _stands(_counted(_placed(nodes, roots).select("fp", "root")), slabs, ()).drop("move")
+    found = standing.hint("merge").join(around, ["slab", "cell"]).where((F.col("root") != F.col("asked")) & _near("fp", "head", distance)).select(*_pair("head"))
+    roots = components(roots.toDF("u", "v").unionAll(found))
+    return components(roots.toDF("u", "v").unionAll(links(_placed(nodes, roots).select("fp", "root"), distance)))
 
 
 def _rooted(prints: DataFrame, distance: int) -> DataFrame:
     """``fp, root, component_id`` of each distinct fingerprint."""
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("least_id"))
-    roots = components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("n")))
+    rooted = _placed(nodes.drop("n"), linked(nodes, distance))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return rooted.join(least, "root").select("fp", "root", "component_id")
 
