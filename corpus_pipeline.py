@@ -7,7 +7,8 @@ place in its sequence. Between stages the documents are a written table in the f
 which also cuts the lineage; each is removed when its successor is written, the last one stays for the rows returned.
 
 What the first stage rejects are null texts, texts without a letter, and all texts if none is labelled: naive Bayes
-names a learned language for any other. Empty texts go with these. Of equal texts one row stays, of near copies one
+names a learned language for any other, and ``lang`` tells it where a row had no label; no threshold on the score drops
+further texts. Empty texts go with these. Of equal texts one row stays, of near copies one
 row, repeated rows and null ids included: the least id, null after all others; the docstrings of the operators tell
 how ties fall. Very long texts are taken whole, columns beyond ``doc_id, text, lang`` are kept as they are up to the
 packing, and empty tables give empty ones.

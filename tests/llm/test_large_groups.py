@@ -1,5 +1,6 @@
 """Near-copy groups and grids that are large for what the optimiser or one machine expects."""
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from test_dedup import brute_components
@@ -51,3 +52,10 @@ def test_no_pair_leaves_the_join_in_all_its_cells(spark):
     rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, joined).count()
     pairs = found.count()
     assert pairs <= rows <= 4 * pairs
+
+
+def test_language_stage_names_unlabelled_texts(spark, docs_of):
+    rows = [(i, " ".join((["alpha", "beta"] if i % 2 else ["ouzi", "uxoz"])[(i + k) % 2] for k in range(12)), ("aa" if i % 2 else "bb") if i < 40 else None) for i in range(60)]
+    rows += [(70, None, None), (71, "12 !", None)]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs_of(rows), "unused").collect()}
+    assert got == {i: "aa" if i % 2 else "bb" for i in range(60)}

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,6 +166,7 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame
     """The rows, with all their columns, whose text is in some learned language with at least ``min_score``.
 
     With the least score of 0 these are all but null texts, texts without a letter and, if no row is labelled, all.
+    Where a row of a table with a column ``lang`` has no label, it gets the language predicted.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -172,6 +174,9 @@ def accepted(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame
         own = shared.value
         for batch in text_slices(batches, limit=1 << 19):
             labels, scores = own.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            at = batch.schema.get_field_index("lang")
+            if at >= 0:
+                batch = batch.set_column(at, batch.schema.field(at), pc.coalesce(batch.column(at), pa.array(labels, batch.schema.field(at).type)))
             yield batch.filter(pa.array([label != UNKNOWN and score >= min_score for label, score in zip(labels, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
