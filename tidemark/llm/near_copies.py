@@ -20,7 +20,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +30,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, small_side, text_slices, texts
 from tidemark.llm.components import components, one_of_each, row_key
-from tidemark.llm.simhash import SEED, links, majority, shingle_hashes
+from tidemark.llm.simhash import SEED, linked, majority, shingle_hashes
 
 #: Similarity as a fraction, so that its tests are in whole numbers.
 OVER, UNDER = 4, 5
 #: Documents that the order of shingles is learned from, and how many frequent shingles it tells apart.
-SAMPLE_DOCS, FREQUENT = 5_000, 100_000
+SAMPLE_DOCS, FREQUENT = 25_000, 200_000
 #: Bytes that name a shingle in the sets that are compared, and bits that name it where sets meet.
 SET_BYTES, CELL_BITS = 5, 48
 #: Parts that large cells are dealt into, each with a node that others ask.
@@ -52,15 +51,13 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=SLICE):
-            held: Counter = Counter()
-            for t in texts(batch):
-                held.update(np.unique(shingle_hashes(t, width)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["cell", "n"])
+            cells, n = np.unique(np.concatenate([np.unique(shingle_hashes(t, width)) for t in texts(batch)]).view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n, pa.int64())], names=["cell", "n"])
 
     every = max(1, docs.count() // SAMPLE_DOCS)
     counts = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = counts.where("n > 2").orderBy(F.col("n").desc(), "cell").limit(FREQUENT).collect()
-    cells, seen = np.array([r["cell"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+    rows = counts.where("n > 2").orderBy(F.col("n").desc(), "cell").limit(FREQUENT).toArrow()
+    cells, seen = rows["cell"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(cells)
     return cells[order], seen[order]
 
@@ -145,7 +142,7 @@ def _similar(pairs: DataFrame) -> DataFrame:
 
 def _near_first(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """``u, v``: nodes that SimHash links (4 bits) put into one group, with the group's first node where similar to it."""
-    grouped = nodes.join(components(links(nodes.select("fp").distinct(), 4)).toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    grouped = nodes.join(linked(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), 4).toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = grouped.groupBy("root").agg(F.min_by(F.struct("node", "n"), "node").alias("head"), F.count(F.lit(1)).alias("held")).where("held > 1")
     fits = (OVER * F.greatest("n", "head.n") <= UNDER * F.least("n", "head.n"))
     star = grouped.join(heads, "root").where(fits).select(F.col("node").alias("u"), F.col("head.node").alias("v"), "id", "key")
@@ -180,7 +177,7 @@ def _with_plainest(cells: DataFrame, seed: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(DEALS)).alias("deal")
     plainest = cells.groupBy("cell", mine).agg(F.min(F.struct("at", "node", "n", "root")).alias("asked"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     turn = F.pmod(F.xxhash64("node", "cell", F.lit(seed)), F.lit(DEALS)).alias("deal")
-    met = cells.select("cell", turn, "node", "n", "at", "root").join(plainest, ["cell", "deal"]).where("root != asked.root")
+    met = cells.select("cell", turn, "node", "n", "at", "root").hint("merge").join(plainest, ["cell", "deal"]).where("root != asked.root")
     fits = _may_be_similar(F.col("n"), F.col("at"), F.col("asked.n"), F.col("asked.at"))
     return met.where(fits).select(F.greatest("node", "asked.node").alias("u"), F.least("node", "asked.node").alias("v")).distinct()
 
@@ -189,11 +186,12 @@ def _meeting(cells: DataFrame) -> DataFrame:
     """``u, v`` (u > v): nodes of different groups whose prefixes have enough in common for the sets to be similar.
 
     From one shared cell to the next the sets have less left, so the cells that pass are the first ones that a pair
-    shares: with what follows the last of them they bound what the sets share.
+    shares: with what follows the last of them they bound what the sets share. The optimiser does not see how many
+    cells a text stands in, so no side is ever broadcast.
     """
     a, b = (cells.select(*(F.col(c).alias(c + side) for c in ("cell", "node", "n", "at", "root"))) for side in ("_a", "_b"))
     fits = _may_be_similar(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
-    met = a.join(b, (F.col("cell_a") == F.col("cell_b")) & (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    met = a.hint("merge").join(b, (F.col("cell_a") == F.col("cell_b")) & (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits)
     pairs = met.groupBy(F.col("node_a").alias("u"), F.col("node_b").alias("v")).agg(F.count(F.lit(1)).alias("both"), *(f(c).alias(c) for f, c in ((F.first, "n_a"), (F.first, "n_b"), (F.max, "at_a"), (F.max, "at_b"))))
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
     return pairs.where((OVER + UNDER) * (F.col("both") + rest) >= OVER * (F.col("n_a") + F.col("n_b"))).select("u", "v")
