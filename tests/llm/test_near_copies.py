@@ -86,3 +86,50 @@ def test_one_row_of_each_group(docs_of):
     repeated = docs_of([(1, "t"), (5, "t"), (None, "t")])
     assert [r["doc_id"] for r in near_copies.representatives(repeated).collect()] == [1]
     assert near_copies.representatives(repeated.limit(0)).count() == 0
+
+
+def test_long_texts_of_different_length_meet(docs_of):
+    """Texts so long that their sets meet in parts, also where one is halved more often than the other."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for size in (204, 205, 240, 256, 409, 410, 500, 511, 512, 900, 2100):
+        text = rng.choices(words, k=size + 4)
+        longer = size // 4
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text, *rng.choices(words, k=longer)])), (len(rows) + 2, " ".join([*rng.choices(words, k=longer + 1), *text]))]
+        for share in (40, 30, 25):
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), len(copy) // share):
+                copy[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    expected = {i: least for (i, _), least in zip(rows, brute_groups(rows))}
+    assert len(rows) > len(set(expected.values())) > 11
+    assert {r["id"]: r["component_id"] for r in near_copies.groups(docs_of(rows)).collect()} == expected
+
+
+def test_pairs_that_cannot_be_similar_do_not_meet(docs_of, monkeypatch):
+    """Copies with too many changes, and long texts that share a passage: few of their pairs are compared."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for size in (300, 1500):
+        text = rng.choices(words, k=size)
+        for _ in range(24):
+            copy = list(text)
+            for at in rng.sample(range(size), size // 16):
+                copy[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    passage = rng.choices(words, k=6)
+    rows += [(len(rows) + k, " ".join([*rng.choices(words, k=1200), *passage])) for k in range(24)]
+    monkeypatch.setattr(near_copies, "SAMPLE_DOCS", 1)
+    met, meeting = [], near_copies._meeting
+
+    def counted(cells):
+        pairs = meeting(cells)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_copies, "_meeting", counted)
+    got = {r["id"]: r["component_id"] for r in near_copies.groups(docs_of(rows)).collect()}
+    assert got == {i: least for (i, _), least in zip(rows, brute_groups(rows))}
+    assert sum(met) <= len(rows)

@@ -7,6 +7,12 @@ all texts share, two sets at 0.8 or more have a shingle in common among the firs
 cells that these shingles are. The order is rare shingles first, as a sample counts them; the sample changes the work
 and never the result.
 
+Long sets meet in parts, dealt by hash: if two sets are similar then so are their shares of one part at least. Both
+filters that the join holds thus work on a few hundred shingles, however long a text is: what the shares have left from
+the shared shingle on, and their prints, in which a shingle flips one bit. Shares differ in no fewer shingles than their
+prints in bits, so pairs with a chance shingle or a passage in common, and most of the copies that are not similar
+enough, do not leave the join.
+
 Groups are joined before their pairs are formed: in each cell every text first meets its neighbour by size alone, and
 of these meetings each text takes one. In large cells texts then ask the least changed ones, which most others are
 similar to. What that joins is one group, and only texts of different groups meet as pairs afterwards. So a group of n
@@ -21,6 +27,8 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +46,16 @@ OVER, UNDER = 4, 5
 SAMPLE_DOCS, FREQUENT = 25_000, 200_000
 #: Bytes that name a shingle in the sets that are compared, and bits that name it where sets meet.
 SET_BYTES, CELL_BITS = 5, 48
+#: Shingles of a part are fewer than this, on average; long words that hold a part's print.
+PART, PRINT = 256, 4
+WORDS = [f"w{k}" for k in range(PRINT)]
+#: What a cell tells of a node: its part's size, the place of the cell in its prefix, and the part's print.
+STAND = ["n", "at", *WORDS]
 #: Parts that large cells are dealt into, each with a node that others ask.
 DEALS = 16
-#: They ask again while one in so many of their pairs is similar, so many times at most; all pairs left come after.
-ENOUGH, ROUNDS = 8, 6
+#: They ask again while one in so many of their pairs and more than so many are similar, so many times at most; all pairs
+#: left come after.
+ENOUGH, MANY, ROUNDS = 8, 1000, 6
 #: Bytes of text worked on at once.
 SLICE = 1 << 19
 
@@ -62,12 +76,34 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
     return cells[order], seen[order]
 
 
-def _rare_first(hashes: np.ndarray, cells: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Ascending distinct ``hashes`` by their count in the sample, then by hash."""
+def _counted(hashes: np.ndarray, cells: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How often the sample holds each of ``hashes``, as far as it is told."""
     if not len(cells):
-        return hashes
+        return np.zeros(len(hashes), np.int64)
     at = np.minimum(np.searchsorted(cells, hashes), len(cells) - 1)
-    return hashes[np.argsort(np.where(cells[at] == hashes, seen[at], 0), kind="stable")]
+    return np.where(cells[at] == hashes, seen[at], 0)
+
+
+def _depths(n: int) -> list[int]:
+    """How often sets of ``n`` shingles are halved: as deep as their own size and the greatest similar one ask for."""
+    return sorted({max(0, (most // PART).bit_length()) for most in (n, n * UNDER // OVER)}) if n else []
+
+
+def _parts(own: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of ascending distinct hashes: sizes, prints (a row each), cells of the rarest shingles, and how many.
+
+    Parts without shingles stay out. A cell's name tells the depth, so only sets of one depth meet.
+    """
+    part = (own >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(own), np.int64)
+    size = np.bincount(part, minlength=1 << depth)
+    first = size - (OVER * size + UNDER - 1) // UNDER + 1
+    bit = part * (64 * PRINT) + (own % np.uint64(64 * PRINT)).astype(np.int64)
+    prints = np.packbits((np.bincount(bit, minlength=(64 * PRINT) << depth) & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(-1, PRINT)
+    order = np.lexsort((counts, part))  # rare first, then by hash
+    rare = order[np.arange(len(own)) - (np.cumsum(size) - size)[part] < first[part]]
+    cells = (own[rare] >> np.uint64(64 - CELL_BITS)).view(np.int64) | (depth << CELL_BITS)
+    held = size > 0
+    return size[held], prints[held], cells, first[held]
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -75,23 +111,34 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def prefixes(docs: DataFrame, width: int) -> DataFrame:
-    """``id, key, node, fp, n, prefix``: a document's row key, its shingle set by name, SimHash, size and its rarest shingles."""
+    """``id, key, node, fp, n, parts``: a document's row key, its shingle set by name, SimHash, size and parts.
+
+    Of a part: its size, its print and the cells of its rarest shingles.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
+    def ends(counts: list[int]) -> np.ndarray:
+        return np.cumsum([0, *counts]).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, limit=SLICE):
-            rows = []
+            rows, parts, held = [], [], []
             for t in texts(batch):
                 hashes = shingle_hashes(t, width)
                 own = np.unique(hashes)
-                n = len(own)
-                first = n - (OVER * n + UNDER - 1) // UNDER + 1 if n else 0
-                rows.append((_node(own), majority(hashes), n, (_rare_first(own, *shared.value)[:first] >> np.uint64(64 - CELL_BITS)).view(np.int64)))
-            ends = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[3] for r in rows])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), prefix], names=["id", "key", "node", "fp", "n", "prefix"])
+                rows.append((_node(own), majority(hashes), len(own)))
+                counts = _counted(own, *shared.value)
+                mine = [_parts(own, counts, depth) for depth in _depths(len(own))]
+                held.append(sum(len(p[0]) for p in mine))
+                parts += mine
+            none = (np.zeros(0, np.int64), np.zeros((0, PRINT), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            size, prints, cells, first = (np.concatenate(x) for x in zip(none, *parts))
+            prefix = pa.ListArray.from_arrays(ends(first.tolist()), pa.array(cells, pa.int64()))
+            each = pa.StructArray.from_arrays([pa.array(size, pa.int32()), *(pa.array(prints[:, k], pa.int64()) for k in range(PRINT)), prefix], names=["n", *WORDS, "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.ListArray.from_arrays(ends(held), each)], names=["id", "key", "node", "fp", "n", "parts"])
 
-    return docs.select("id", row_key(F.col("text")).alias("key"), "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, node long, fp long, n long, prefix array<long>")
+    part = ", ".join(["n: int", *(f"{w}: long" for w in WORDS), "prefix: array<long>"])
+    return docs.select("id", row_key(F.col("text")).alias("key"), "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key long, node long, fp long, n long, parts array<struct<{part}>>")
 
 
 def _sets(docs: DataFrame, of: DataFrame, width: int) -> DataFrame:
@@ -151,19 +198,52 @@ def _near_first(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return checkpoint(_similar(sets.where("u != v").withColumnRenamed("shingles", "a").join(first, F.col("v") == F.col("head"))))
 
 
-def _may_be_similar(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
-    """At the first shingle that two sets share, neither set has more left than it holds from there on."""
-    left = F.least(n_a - at_a, n_b - at_b)
-    return (OVER + UNDER) * left >= OVER * (n_a + n_b)
+def _reach(a: str, b: str) -> Column:
+    """Two parts that share a shingle: neither has more left than it holds from there on.
+
+    ``a`` and ``b`` name the columns ``STAND`` of both, with braces where the names go.
+    """
+    n_a, at_a, n_b, at_b = (F.col(side.format(c)) for side in (a, b) for c in ("n", "at"))
+    return (OVER + UNDER) * F.least(n_a - at_a, n_b - at_b) >= OVER * (n_a + n_b)
+
+
+def _alike(a: str, b: str) -> Column:
+    """The prints of two parts differ in no more bits than similar parts in shingles."""
+    differ = reduce(add, (F.bit_count(F.col(a.format(w)).bitwiseXOR(F.col(b.format(w)))) for w in WORDS))
+    return (OVER + UNDER) * differ <= (UNDER - OVER) * (F.col(a.format("n")) + F.col(b.format("n")))
+
+
+def _part_of(cell: str) -> Column:
+    """The name of the part, one of its node's, that a cell is of: its depth and the first bits of its hashes."""
+    depth = F.shiftright(cell, CELL_BITS).cast("int")
+    return F.call_function("shiftright", F.col(cell), F.lit(CELL_BITS) - depth).alias("part")
+
+
+def _printed(nodes: DataFrame) -> DataFrame:
+    """``node, part, n`` and the print of all parts."""
+    parts = nodes.select("node", F.explode("parts").alias("of")).withColumn("cell", F.col("of.prefix")[0])
+    return parts.select("node", _part_of("cell"), "of.n", *(f"of.{w}" for w in WORDS))
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """``cell, node, n, at`` of the shingles that the prefixes of several nodes hold, with the neighbour by size."""
-    cells = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "cell"))
-    inside = Window.partitionBy("cell")
-    before = F.lag(F.struct("node", "n", "at")).over(inside.orderBy("n", "node")).alias("before")
-    after = F.lead("node").over(inside.orderBy("n", "node")).alias("after")
-    return cells.select("*", before, after).where("before is not null or after is not null").drop("after")
+    """``cell, part, node`` and ``STAND`` of the shingles that the prefixes of several nodes hold.
+
+    ``before`` is the neighbour by size, where it has enough left. Most cells have one node, so only those that are
+    left get the prints.
+    """
+    cells = nodes.select("node", F.explode("parts").alias("of")).select("node", "of.n", F.posexplode("of.prefix").alias("at", "cell"))
+    by_size = Window.partitionBy("cell").orderBy("n", "node")
+    met = cells.select("*", F.lag(F.struct("node", "n", "at")).over(by_size).alias("before"), F.lead("node").over(by_size).alias("after")).where("before is not null or after is not null")
+    held = met.select("cell", _part_of("cell"), "node", "at", F.when(_reach("{}", "before.{}"), F.col("before.node")).alias("before"))
+    return held.hint("merge").join(_printed(nodes), ["node", "part"]).select("cell", "part", "node", *STAND, "before")
+
+
+def _beside(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``u, v`` (u > v): nodes and their neighbours with parts that may be similar."""
+    asked = shared.where("before is not null").select("node", "before", "part", "n", *WORDS).distinct()
+    other = _printed(nodes).select(F.col("node").alias("before"), "part", *(F.col(c).alias(f"{c}_before") for c in ("n", *WORDS)))
+    alike = asked.hint("merge").join(other, ["before", "part"]).where(_alike("{}", "{}_before"))
+    return alike.select(F.greatest("node", "before").alias("u"), F.least("node", "before").alias("v")).distinct()
 
 
 def _with_plainest(cells: DataFrame, seed: int) -> DataFrame:
@@ -175,26 +255,20 @@ def _with_plainest(cells: DataFrame, seed: int) -> DataFrame:
     are few.
     """
     mine = F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(DEALS)).alias("deal")
-    plainest = cells.groupBy("cell", mine).agg(F.min(F.struct("at", "node", "n", "root")).alias("asked"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    plainest = cells.groupBy("cell", mine).agg(F.min(F.struct("at", "node", "root", *(c for c in STAND if c != "at"))).alias("asked"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     turn = F.pmod(F.xxhash64("node", "cell", F.lit(seed)), F.lit(DEALS)).alias("deal")
-    met = cells.select("cell", turn, "node", "n", "at", "root").hint("merge").join(plainest, ["cell", "deal"]).where("root != asked.root")
-    fits = _may_be_similar(F.col("n"), F.col("at"), F.col("asked.n"), F.col("asked.at"))
-    return met.where(fits).select(F.greatest("node", "asked.node").alias("u"), F.least("node", "asked.node").alias("v")).distinct()
+    met = cells.select("cell", turn, "node", "root", *STAND).hint("merge").join(plainest, ["cell", "deal"]).where("root != asked.root")
+    return met.where(_reach("{}", "asked.{}") & _alike("{}", "asked.{}")).select(F.greatest("node", "asked.node").alias("u"), F.least("node", "asked.node").alias("v")).distinct()
 
 
 def _meeting(cells: DataFrame) -> DataFrame:
-    """``u, v`` (u > v): nodes of different groups whose prefixes have enough in common for the sets to be similar.
+    """``u, v`` (u > v): nodes of different groups with parts that may be similar.
 
-    From one shared cell to the next the sets have less left, so the cells that pass are the first ones that a pair
-    shares: with what follows the last of them they bound what the sets share. The optimiser does not see how many
-    cells a text stands in, so no side is ever broadcast.
+    The optimiser does not see how many cells a text stands in, so no side is ever broadcast.
     """
-    a, b = (cells.select(*(F.col(c).alias(c + side) for c in ("cell", "node", "n", "at", "root"))) for side in ("_a", "_b"))
-    fits = _may_be_similar(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
-    met = a.hint("merge").join(b, (F.col("cell_a") == F.col("cell_b")) & (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits)
-    pairs = met.groupBy(F.col("node_a").alias("u"), F.col("node_b").alias("v")).agg(F.count(F.lit(1)).alias("both"), *(f(c).alias(c) for f, c in ((F.first, "n_a"), (F.first, "n_b"), (F.max, "at_a"), (F.max, "at_b"))))
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    return pairs.where((OVER + UNDER) * (F.col("both") + rest) >= OVER * (F.col("n_a") + F.col("n_b"))).select("u", "v")
+    a, b = (cells.select(*(F.col(c).alias(c + side) for c in ("cell", "node", "root", *STAND))) for side in ("_a", "_b"))
+    met = a.hint("merge").join(b, (F.col("cell_a") == F.col("cell_b")) & (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _reach("{}_a", "{}_b") & _alike("{}_a", "{}_b"))
+    return met.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -237,18 +311,18 @@ def _rooted(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         return checkpoint(pairs.groupBy("u").agg(F.min("v").alias("v")))
 
     # Neighbours first.
-    beside = shared.where("before is not null").where(_may_be_similar(F.col("n"), F.col("at"), F.col("before.n"), F.col("before.at")))
-    beside = beside.select(F.greatest("node", "before.node").alias("u"), F.least("node", "before.node").alias("v")).distinct()
+    beside = _beside(shared, nodes)
     roots = components(links)
     asked = one_each(_apart(beside, roots))
     roots = _joined(roots, _compared(docs, named, asked, width))
     # Then the plainest nodes of large cells, as long as that joins much.
-    cells = shared.drop("before")
+    cells = shared.drop("before", "part")
     for seed in range(ROUNDS):
         pairs = checkpoint(_with_plainest(_placed(cells, roots), seed).join(asked, ["u", "v"], "left_anti"))
         found = _compared(docs, named, pairs, width)
         roots, asked = _joined(roots, found), asked.unionAll(pairs)
-        if found.count() * ENOUGH < pairs.count():
+        joined = found.count()
+        if joined <= MANY or joined * ENOUGH < pairs.count():
             break
     # At last all that meet and are still apart.
     rest = checkpoint(_meeting(_placed(cells, roots)).join(asked, ["u", "v"], "left_anti"))
